@@ -1,4 +1,4 @@
-"""The training-data queries p3, p7, p8 with their production parameters, and their SQL."""
+"""The training-data queries p3, p7, p8, p9 with their production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..plans.scratch import materialize, table
 from .leakage import leaked
 from .nearest import nearest_join
 from .packing import pack
+from .stuffing import calibrated, stuffed_pages, text_measures
 from .tokens import token_counts
 
 
@@ -53,7 +54,20 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p7_packed, p7_fill, p8_found, p8_report)}
+def _stuffed(spark: SparkSession, d: str) -> DataFrame:
+    measures = materialize(text_measures(table(spark, d, "documents"), "doc_id", "text", "lang"))
+    return stuffed_pages(measures, calibrated(measures))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _stuffed(spark, d).select("doc_id")
+
+
+def p9_measures(spark: SparkSession, d: str) -> DataFrame:
+    return _stuffed(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p7_packed, p7_fill, p8_found, p8_report, p9_found, p9_measures)}
 
 _P3 = """s AS (SELECT run_id, sample_ts, min(sample_id) AS sample_id FROM equity_samples WHERE sample_ts IS NOT NULL AND sample_mid IS NOT NULL AND run_id IS NOT NULL GROUP BY ALL),
 f AS (SELECT DISTINCT run_id, ts, fill_id FROM fills),
