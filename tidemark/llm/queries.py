@@ -23,7 +23,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(spark, d)
+    """Every fill, with -1 for what it lacks."""
+    n = _nearest(spark, d)
+    return n.select("run_id", *[F.coalesce(c, F.lit(-1).cast("bigint")).alias(c) for c in ("ts", "fill_id", "sample_id", "distance")])
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +82,6 @@ dr AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 15], ' ') AS r FROM (SELE
 
 ORACLES = {
     "p3_found": f"WITH {_P3} SELECT fill_id, sample_id FROM c WHERE k = 1 AND sample_id IS NOT NULL",
-    "p3_pairs": f"WITH {_P3} SELECT run_id, ts, fill_id, sample_id, distance FROM c WHERE k = 1",
+    "p3_pairs": f"WITH {_P3} SELECT run_id, coalesce(ts, -1) AS ts, fill_id, coalesce(sample_id, -1) AS sample_id, coalesce(CASE WHEN sample_id IS NOT NULL THEN distance END, -1) AS distance FROM c WHERE k = 1",
     "p8_found": f"WITH {_P8} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)",
 }
