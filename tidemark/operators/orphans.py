@@ -10,11 +10,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from .lifecycle import CLOSE, OPEN
+from .paged import PAGE, paged_fold
 
 
 @dataclass(frozen=True)
@@ -74,76 +75,38 @@ def orphan_cascade(tables: Mapping[str, DataFrame], ids: Mapping[str, Sequence[s
     return {t: df.groupBy(*ids[t]).agg(F.min("depth").alias("depth")).select(*ids[t], kind, "depth") for t, df in found.items()}
 
 
-PAGE = "struct<size:bigint,prev:boolean,orphans:array<struct<seq:bigint,inherited:boolean>>>"
+STATE = "struct<size:bigint,orphan:boolean>"
+PAGE_RESULT = f"struct<state:{STATE},orphans:array<struct<seq:bigint,inherited:boolean>>>"
 
 
-def _read_page(ops: Column, size: Column, prev: Column) -> Column:
-    """Walk a page of one order's operations from the state before it (size, whether the last reference was an orphan)."""
-    none = F.array().cast("array<struct<seq:bigint,inherited:boolean>>")
-    start = F.struct(size.alias("size"), prev.alias("prev"), none.alias("orphans")).cast(PAGE)
+def _read(items: Column, state: Column) -> Column:
+    """Walk one order's operations of a page from the state before it: its size, and whether its last reference was an orphan."""
+    start = F.struct(state.alias("state"), F.array().alias("orphans")).cast(PAGE_RESULT)
 
     def step(acc: Column, x: Column) -> Column:
-        rests = acc["size"] > 0
-        opens = x["op"] == OPEN
+        size = acc["state"]["size"]
+        rests, opens = size > 0, x["op"] == OPEN
         orphan = ~rests & ~opens
-        after = (
-            F.when(opens, F.when(rests, acc["size"]).otherwise(x["qty"]))
-            .when(x["op"] == CLOSE, F.lit(0))
-            .otherwise(F.greatest(acc["size"] - x["qty"], F.lit(0)))
-            .cast("bigint")
-        )
-        one = F.array(F.struct(x["at"].alias("seq"), acc["prev"].alias("inherited")))
+        after = F.when(opens, F.when(rests, size).otherwise(x["qty"])).when(x["op"] == CLOSE, F.lit(0)).otherwise(F.greatest(size - x["qty"], F.lit(0)))
+        one = F.array(F.struct(x["at"].alias("seq"), acc["state"]["orphan"].alias("inherited")))
         listed = F.when(orphan, F.concat(acc["orphans"], one)).otherwise(acc["orphans"])
-        return F.struct(after.alias("size"), orphan.alias("prev"), listed.alias("orphans")).cast(PAGE)
+        return F.struct(F.struct(after.alias("size"), orphan.alias("orphan")).alias("state"), listed.alias("orphans")).cast(PAGE_RESULT)
 
-    return F.aggregate(ops, start, step)
+    return F.aggregate(items, start, step)
 
 
-def stale_references(ops: DataFrame, keys: Sequence[str], order: str, last: int, page: int = 16384, max_rounds: int = 10_000) -> DataFrame:
+def stale_references(ops: DataFrame, keys: Sequence[str], order: str, last: int, page: int = PAGE, max_rounds: int = 10_000) -> DataFrame:
     """keys, ``order`` and ``kind`` of every reduce or close whose record doesn't rest just before it.
 
     ``direct``: the record was never opened, is opened only later, or has just gone. ``inherited``: the
     reference before it, on the same record, is an orphan already, so that it descends from one.
 
-    The graph: the references of a record hang on one another in their order, cut into *pages* of
-    ``page`` consecutive ``order`` numbers, each page a child of the record's page before. The first
-    round reads every page as if its parent page left nothing behind. Then, round by round, a semi-join
-    finds the pages whose parent leaves another state than they were read with; only these are read again,
-    until no page changes. A task holds one page of a record, never a whole one; a record that keeps to one page needs no
-    further round. last: a bound on ``order``. Raises RuntimeError after ``max_rounds`` rounds.
+    The graph: the references of a record hang on one another in their order. It is walked in pages (see ``paged_fold``): a page
+    whose parent page leaves nothing behind has its references orphaned, and the cascade goes on from page to page by
+    semi-joins until a fixpoint. last: a bound on ``order``. An empty feed has no orphans; NULL key parts are values of their own.
     """
-    pages = (
-        ops.withColumn("page", F.expr(f"{order} div {page}"))
-        .groupBy(*keys, "page")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "op", "qty"))).alias("ops"))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("size"), F.lit(False).alias("orphan")).cast(STATE)
+    pages = paged_fold(ops, keys, order, last, [F.col("op"), F.col("qty")], _read, nothing, page, max_rounds)
+    return pages.select(*keys, F.explode("r.orphans").alias("o")).select(
+        *keys, F.col("o.seq").alias(order), F.when(F.col("o.inherited"), "inherited").otherwise("direct").alias("kind")
     )
-    read = _read_page(F.col("ops"), F.lit(0).cast("bigint"), F.lit(False))
-
-    def listed(df: DataFrame) -> DataFrame:
-        return df.select(*keys, F.explode("r.orphans").alias("o")).select(
-            *keys, F.col("o.seq").alias(order), F.when(F.col("o.inherited"), "inherited").otherwise("direct").alias("kind")
-        )
-
-    if last < page:
-        return listed(pages.select(*keys, read.alias("r")))
-    by = Window.partitionBy(*keys).orderBy("page")
-    linked = materialize(
-        pages.withColumn("r", read).withColumn("parent", F.lag("page").over(by)).withColumn("more", F.lead("page").over(by).isNotNull())
-        .withColumn("in_size", F.lit(0).cast("bigint")).withColumn("in_prev", F.lit(False))
-    )
-    alone = listed(linked.where("parent IS NULL AND NOT more"))
-    current = linked.where("parent IS NOT NULL OR more")
-    for _ in range(max_rounds):
-        left_behind = current.where("more").select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("page").alias("__page"), F.col("r.size").alias("__size"), F.col("r.prev").alias("__prev"))
-        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]) & (F.col("parent") == F.col("__page"))
-        changed = ((F.col("__size") != F.col("in_size")) | (F.col("__prev") != F.col("in_prev")))
-        if current.join(left_behind, same & changed, "left_semi").isEmpty():
-            break
-        size, prev = F.coalesce("__size", F.lit(0).cast("bigint")), F.coalesce("__prev", F.lit(False))
-        again = current.join(left_behind, same, "left").withColumn(
-            "r", F.when(F.coalesce(changed, F.lit(False)), _read_page(F.col("ops"), size, prev)).otherwise(F.col("r"))
-        )
-        current = materialize(again.withColumn("in_size", size).withColumn("in_prev", prev).select(*current.columns))
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    return alone.unionByName(listed(current))
