@@ -53,7 +53,6 @@ def ofi_regression(features: DataFrame, bucket_s: float = 10.0, keys: Sequence[s
 def bucket_sweep(features: DataFrame, buckets_s: Iterable[int] = (1, 5, 10, 30, 60), keys: Sequence[str] = SESSION) -> DataFrame:
     """The regression for several bucket lengths in one pass: the events are multiplied by the lengths and grouped once."""
     many = features.withColumn("bucket_s", F.explode(F.array(*[F.lit(int(b)).cast("bigint") for b in buckets_s])))
-    many = many.where("bucket_s > 0")
     wide = [*keys, "bucket_s"]
     b = (
         many.where("mid IS NOT NULL")

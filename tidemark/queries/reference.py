@@ -313,7 +313,7 @@ def ofi_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_FEATURES}, dd AS (SELECT d.*, bucket_s FROM d, (SELECT unnest([1, 5, 10, 30, 60]) AS bucket_s)),
-{_buckets("bucket_s * 1000000000", "symbol, trade_date, bucket_s", "dd")}, {_regression_sql("symbol, trade_date, bucket_s")}""")
+{_buckets("bucket_s::BIGINT * 1000000000", "symbol, trade_date, bucket_s", "dd")}, {_regression_sql("symbol, trade_date, bucket_s")}""")
 def bucket_sweep(spark: SparkSession, d: str) -> DataFrame:
     r = research.bucket_sweep(_features(spark, d)).where("n >= 10")
     places = {"slope": 9, "intercept": 6, "r2": 6, "mean_depth": 6, "slope_x_depth": 6}
