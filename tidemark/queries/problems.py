@@ -134,7 +134,7 @@ SELECT symbol, trade_date, period_ns FROM c WHERE NOT EXISTS (SELECT 1 FROM r WH
     "p1_series": f"""WITH r AS ({_USABLE}), c AS ({_CELLS}),
 i AS (SELECT *, lead(ts_ns) OVER (PARTITION BY symbol, trade_date ORDER BY ts_ns, seq, best_bid, best_ask, ofi_e NULLS FIRST) AS nxt FROM r),
 j AS (SELECT c.symbol, c.trade_date, period_ns, best_bid, best_ask, ofi_e, ts_ns >= period_ns AS inside,
-    greatest(least(coalesce(nxt, close_ns), close_ns, period_ns + {MINUTE}) - greatest(ts_ns, period_ns), 0) AS held
+    CASE WHEN ts_ns IS NOT NULL THEN greatest(least(coalesce(nxt, close_ns), close_ns, period_ns + {MINUTE}) - greatest(ts_ns, period_ns), 0) END AS held
   FROM c LEFT JOIN i ON i.symbol = c.symbol AND i.trade_date = c.trade_date AND ts_ns < period_ns + {MINUTE} AND (nxt IS NULL OR nxt >= period_ns))
 SELECT symbol, trade_date, period_ns, count(*) FILTER (inside) AS n_readings, coalesce(sum(held), 0)::BIGINT AS cover_ns,
   CASE WHEN sum(held) > 0 THEN round(sum(best_bid::DOUBLE * held) / sum(held), 2) END AS bid_twa,

@@ -326,7 +326,7 @@ _CORR = [(a, h) for a in ("ofi_w20", "ofi_w50", "ofi_w100", "queue_imbalance") f
 @query(f"""WITH {_FEATURES}, s AS (SELECT symbol, trade_date, {", ".join(f"CASE WHEN {_POS} >= {w} THEN (sum(ofi_e) {_W(w)})::DOUBLE END AS ofi_w{w}" for w in (20, 50, 100))},
   CASE WHEN bid_qty + ask_qty > 0 THEN (bid_qty - ask_qty) / (bid_qty + ask_qty) END AS queue_imbalance, {", ".join(f"{_LEAD(h)} AS fwd_{h}" for h in (10, 50, 200))} FROM d)
 """ + " UNION ALL ".join(f"""SELECT symbol, trade_date, '{a}' AS signal, {h} AS horizon_events, count(*) FILTER ({a} IS NOT NULL AND fwd_{h} IS NOT NULL) AS n,
-  round(CASE WHEN max({a}) FILTER (fwd_{h} IS NOT NULL) > min({a}) FILTER (fwd_{h} IS NOT NULL) AND max(fwd_{h}) FILTER ({a} IS NOT NULL) > min(fwd_{h}) FILTER ({a} IS NOT NULL) THEN corr({a}, fwd_{h}) END, 4) AS corr
+  round(CASE WHEN max({a}) FILTER (fwd_{h} IS NOT NULL) > min({a}) FILTER (fwd_{h} IS NOT NULL) AND max(fwd_{h}) FILTER ({a} IS NOT NULL) > min(fwd_{h}) FILTER ({a} IS NOT NULL) THEN corr({a}, fwd_{h}) END, 4) + 0.0 AS corr
 FROM s GROUP BY symbol, trade_date""" for a, h in _CORR))
 def predictive_corr(spark: SparkSession, d: str) -> DataFrame:
     return research.predictive_table(_features(spark, d)).withColumn("corr", F.round("corr", 4))
@@ -347,15 +347,15 @@ _H = {"0_1": 100_000_000, "1": 1_000_000_000, "5": 5_000_000_000, "30": 30_000_0
 
 
 @query(f"""WITH {_FEATURES}, {_MIDS}, {", ".join(f"a{k} AS ({_AT(ns)})" for k, ns in {"z": 0, **_H}.items())}
-SELECT CASE WHEN f.passive = 1 THEN 'passive (entries)' ELSE 'aggressive (exits)' END AS kind, round(avg((az.mid - f.price / 10000.0) * 100 * f.side), 3) AS vs_mid_ticks,
-  {", ".join(f"round(avg((a{k}.mid - az.mid) * 100 * f.side), 3) AS markout_{k}s" for k in _H)}, count(*) AS n_fills
+SELECT CASE WHEN f.passive = 1 THEN 'passive (entries)' ELSE 'aggressive (exits)' END AS kind, round(avg((az.mid - f.price / 10000.0) * 100 * f.side), 3) + 0.0 AS vs_mid_ticks,
+  {", ".join(f"round(avg((a{k}.mid - az.mid) * 100 * f.side), 3) + 0.0 AS markout_{k}s" for k in _H)}, count(*) AS n_fills
 FROM f JOIN az USING (fill_id) {" ".join(f"JOIN a{k} USING (fill_id)" for k in _H)} GROUP BY 1""")
 def fill_markouts(spark: SparkSession, d: str) -> DataFrame:
     return markouts(table(spark, d, "fills"), _features(spark, d))
 
 
 @query(f"""WITH {_FEATURES}, {_MIDS}, az AS ({_AT(0)}), a1 AS ({_AT(1_000_000_000)})
-SELECT f.run_id, round(avg((a1.mid - az.mid) * 100 * f.side), 6) AS adverse_ticks, count(*) AS n_fills FROM f JOIN az USING (fill_id) JOIN a1 USING (fill_id) GROUP BY f.run_id""")
+SELECT f.run_id, round(avg((a1.mid - az.mid) * 100 * f.side), 6) + 0.0 AS adverse_ticks, count(*) AS n_fills FROM f JOIN az USING (fill_id) JOIN a1 USING (fill_id) GROUP BY f.run_id""")
 def adverse_selection_1s(spark: SparkSession, d: str) -> DataFrame:
     return adverse_selection(table(spark, d, "fills"), _features(spark, d)).withColumn("adverse_ticks", F.round("adverse_ticks", ROUND))
 
@@ -378,9 +378,10 @@ w AS (SELECT run_id, k, fill_id, ts, (side * qty)::BIGINT AS pos, 0.0::DOUBLE AS
     CASE WHEN w.pos * f.side < 0 THEN w.realized + least(f.qty, abs(w.pos)) * (f.px - w.cost) * -f.side ELSE w.realized END,
     CASE WHEN w.pos * f.side >= 0 THEN (w.cost * abs(w.pos) + f.px * f.qty) / (abs(w.pos) + f.qty) WHEN f.qty > abs(w.pos) THEN f.px WHEN f.qty = abs(w.pos) THEN 0 ELSE w.cost END
   FROM w JOIN f ON f.run_id = w.run_id AND f.k = w.k + 1)
-SELECT run_id, fill_id, ts, pos AS position, round(realized, 3) AS realized, round(cost, 4) AS avg_cost FROM w""")
+SELECT run_id, fill_id, ts, pos AS position, round(realized + 0.0000013, 3) AS realized, round(cost + 0.0000013, 4) AS avg_cost FROM w""")
 def portfolio_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return bt.ledger(table(spark, d, "fills")).select("run_id", "fill_id", "ts", "position", F.round("realized", 3).alias("realized"), F.round("avg_cost", 4).alias("avg_cost"))
+    """The small shift keeps exact halves, which both engines may round either way, off the rounding edge."""
+    return bt.ledger(table(spark, d, "fills")).select("run_id", "fill_id", "ts", "position", F.round(F.col("realized") + 0.0000013, 3).alias("realized"), F.round(F.col("avg_cost") + 0.0000013, 4).alias("avg_cost"))
 
 
 @query("""WITH s AS (SELECT DISTINCT run_id, sample_ts AS t, sample_id AS o, equity AS e FROM equity_samples WHERE sample_ts IS NOT NULL AND equity IS NOT NULL),
