@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile("[a-z0-9]+")
 LANES = 64  # items in a block
-TOP = 15  # greatest impact: a segment of 16 words sums to 240 at most and fits a byte
+TOP = 15  # greatest impact, less for longer runs: the impacts of a segment's words sum to a byte at most
 SHARD = 1024  # items of one index
 CHUNK = 1 << 15  # words scored at once
 SLICE = 1 << 22  # characters of a text that are cut into words at once
@@ -40,6 +40,8 @@ class Index:
     """Impacts, block bounds and thresholds of up to ``SHARD`` items, and the runs for verification."""
 
     def __init__(self, items: list[tuple[int, str]], run: int, k1: float = 1.2, b: float = 0.75):
+        if not 1 <= run <= 255:
+            raise ValueError("run must be from 1 to 255 words")
         texts = [(i, w) for i, t in items if len(w := words(t or "")) >= run]
         self.run, self.ids = run, np.array([i for i, _ in texts], np.int64)
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
@@ -55,7 +57,7 @@ class Index:
                 raw[self.vocabulary[w], i] = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ws) / mean))
         top = raw.max() if n else 1.0
         impact = np.zeros((unknown + 1, blocks * LANES), np.uint8)
-        impact[:, :n] = np.where(raw > 0, np.maximum(np.rint(raw / top * TOP), 1), 0)
+        impact[:, :n] = np.where(raw > 0, np.maximum(np.rint(raw / top * min(TOP, 255 // run)), 1), 0)
         self.threshold = np.full(blocks * LANES, 60_000, np.uint16)
         for i, ids in enumerate(coded):
             self.threshold[i] = min(int(impact[np.unique(ids[j : j + run]), i].sum()) for j in range(len(ids) - run + 1))

@@ -24,13 +24,14 @@ FUNCTION_WORDS = frozenset(
     " may more most must my no not of on once one only or our out over own please same shall she should so some such than that the their them then there these they this"
     " those to under until up use was we well were what when where which while who will with would you your".split()
 )
-_ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.I | re.S)
-_KEYWORDS = re.compile(r"""<meta\b[^>]*\bname\s*=\s*["']?(?:keywords|description)["']?[^>]*\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>""", re.I)
+# Inner parts have a longest length, so that no text takes more than linear time.
+_ANCHOR = re.compile(r"<a\b[^<>]{0,4000}>(.{0,1000}?)</a\s{0,9}>", re.I | re.S)
+_KEYWORDS = re.compile(r"""<meta\b[^<>]{0,200}?\bname\s{0,9}=\s{0,9}["']?(?:keywords|description)["']?[^<>]{0,200}?\bcontent\s{0,9}=\s{0,9}(?:"([^"<>]*)"|'([^'<>]*)')[^<>]{0,200}>""", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _BREAK = re.compile(r"<(?:br|/?p|/?li|/?div|/?ul|/?ol|/?h[1-6]|/?tr|/?td|/?body|/?head|/?html)\b[^<>]*>", re.I)
 _MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(\s*<?[^()\s]*>?[^()\n]*\)")
 _URL = re.compile(r"""(?:https?|ftp)://[^\s<>"'()\[\]|,]+|\bwww\.[^\s<>"'()\[\]|,]+""", re.I)
-_SIGN = re.compile(r"^(?:\s|//+|/\*+|\*+/|\*(?=\s|$)|<!--|#+(?=\s|!|$)|--+(?=\s|$)|[-+>](?=\s)|\d+[.)]\s)+|(?:\*/|-->|\s)+$")
+_SIGN = re.compile(r"(?:\s|//+|/\*+|\*+/|\*(?=\s|$)|<!--|#+(?=\s|!|$)|--+(?=\s|$)|[-+>](?=\s)|\d+[.)]\s)+")
 _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[,;|/»›·•\t\x01]|\s[-–—:>]\s|\s{2,}")
 _LABEL = re.compile(r"(?:[#@]|tags?:|label:|keywords?:)[\w-]+,?$", re.I)
@@ -59,6 +60,16 @@ def _links(text: str) -> tuple[str, int, int]:
     return text, found[0], found[1]
 
 
+def _bare(line: str) -> str:
+    """A line without comment and list signs at its ends."""
+    line = line.strip()
+    if m := _SIGN.match(line):
+        line = line[m.end() :]
+    while line.endswith(("*/", "-->")):
+        line = line[: -2 if line.endswith("*/") else -3].rstrip()
+    return line
+
+
 def line_kind(line: str) -> str:
     """links, labels, list, phrase, run (stuffed) or sentence, code, data, other."""
     marks = line.count(LINK) // 2
@@ -112,12 +123,12 @@ def measure(text: str | None) -> tuple:
     lines: Counter = Counter()
     urls = link_chars / max(n_links, 1)
     for raw in plain.splitlines():
-        line = _SIGN.sub("", raw)
-        if not line.strip():
+        line = _bare(raw)
+        if not line:
             continue
         marks = line.count(LINK) // 2
         size[line_kind(line)] += len(line) + marks * urls * 0.7 if marks else len(line)
-        lines[line.strip()] += 1
+        lines[line] += 1
     total = sum(size.values()) or 1
     visible = plain.replace(LINK, " ")
     words = _WORD.findall(visible.lower())
