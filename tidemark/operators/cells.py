@@ -21,7 +21,7 @@ MARK = -1  # field number of the presence marker
 def uncancelled(signed: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Keys whose cells don't cancel: keys, ``side`` (1 only on the plus side, -1 only on the minus side, 0 both), ``fields``.
 
-    signed: keys, ``sign`` (+1 / -1) and the fields, all of one type or castable to string. A cell (key,
+    signed: keys, ``__sign`` (+1 / -1) and the fields, all of one type or castable to string. A cell (key,
     field, value) cancels if it occurs on both sides, however often; so repeats don't count. NULL equals NULL, in
     keys and values. ``fields``: the sorted names of the differing fields, empty where ``side`` isn't 0.
     """
@@ -31,18 +31,18 @@ def uncancelled(signed: DataFrame, keys: Sequence[str], fields: Sequence[str]) -
     value = lambda c: F.col(c).cast("bigint" if whole else "string")
     marks = F.array(cell(MARK, F.lit(None).cast("bigint" if whole else "string")), *[cell(i, value(c)) for i, c in enumerate(fields)])
     cells = (
-        signed.select(*keys, "sign", *fields).distinct().repartition(*[F.col(c) for c in keys])
-        .select(*keys, "sign", F.explode(marks).alias("cell"))
-        .groupBy(*keys, "cell.field", "cell.value")
-        .agg(F.max(F.when(F.col("sign") > 0, 1).otherwise(0)).alias("plus"), F.max(F.when(F.col("sign") < 0, 1).otherwise(0)).alias("minus"))
-        .withColumn("net", F.col("plus") - F.col("minus"))
-        .where("net <> 0")
+        signed.select(*keys, "__sign", *fields).distinct().repartition(*[F.col(c) for c in keys])
+        .select(*keys, "__sign", F.explode(marks).alias("__cell"))
+        .groupBy(*keys, F.col("__cell.field").alias("__field"), F.col("__cell.value").alias("__value"))
+        .agg(F.max(F.when(F.col("__sign") > 0, 1).otherwise(0)).alias("__plus"), F.max(F.when(F.col("__sign") < 0, 1).otherwise(0)).alias("__minus"))
+        .withColumn("__net", F.col("__plus") - F.col("__minus"))
+        .where("__net <> 0")
     )
-    side = F.coalesce(F.max(F.when(F.col("field") == MARK, F.col("net"))), F.lit(0))
+    side = F.coalesce(F.max(F.when(F.col("__field") == MARK, F.col("__net"))), F.lit(0))
     names = F.array(*[F.lit(c) for c in fields])
     return (
         cells.groupBy(*keys)
-        .agg(side.alias("side"), F.sort_array(F.collect_set(F.when(F.col("field") != MARK, F.col("field")))).alias("at"))
+        .agg(side.alias("side"), F.sort_array(F.collect_set(F.when(F.col("__field") != MARK, F.col("__field")))).alias("at"))
         .select(*keys, "side", F.when(F.col("side") == 0, F.transform("at", lambda i: F.get(names, i))).otherwise(F.array().cast("array<string>")).alias("fields"))
     )
 
@@ -54,7 +54,7 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     A key with several different rows in a copy agrees in a field if both copies hold the same set of values.
     Empty copies are fine; columns other than keys and fields aren't compared.
     """
-    part = lambda df, sign: df.select(*keys, F.lit(sign).alias("sign"), *[e.alias(c) for c, e in fields.items()])
+    part = lambda df, sign: df.select(*keys, F.lit(sign).alias("__sign"), *[e.alias(c) for c, e in fields.items()])
     found = uncancelled(part(left, 1).unionByName(part(right, -1)), keys, list(fields))
     label = F.when(F.col("side") > 0, F.array(F.lit(only_left))).when(F.col("side") < 0, F.array(F.lit(only_right))).otherwise(F.col("fields"))
     return found.select(*keys, F.explode(label).alias("diff"))
@@ -81,14 +81,14 @@ def snapshot_changes(snaps: DataFrame, period: Sequence[str], number: str, keys:
     for c in (*period, number):
         same = same & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
     twice = F.array(
-        F.struct(F.when(~F.col("__first"), F.col(number)).alias("cmp"), F.lit(1).alias("sign")),
-        F.struct(F.col("__next").alias("cmp"), F.lit(-1).alias("sign")),
+        F.struct(F.when(~F.col("__first"), F.col(number)).alias("cmp"), F.lit(1).alias("s")),
+        F.struct(F.col("__next").alias("cmp"), F.lit(-1).alias("s")),
     )
     signed = (
         rows.join(maybe_broadcast(listing, broadcast_rows), same)
         .withColumn("__x", F.explode(twice))
         .where("__x.cmp IS NOT NULL")
-        .select(*period, *keys, F.col("__x.cmp").alias("__cmp"), F.col("__x.sign").alias("sign"), *names)
+        .select(*period, *keys, F.col("__x.cmp").alias("__cmp"), F.col("__x.s").alias("__sign"), *names)
     )
     found = uncancelled(signed, [*period, *keys, "__cmp"], names)
     change = F.when(F.col("side") > 0, "added").when(F.col("side") < 0, "removed").otherwise("changed")
