@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .lifecycle import CLOSE, OPEN
 
-INF = 2**62  # above any state: such a t means that no state is shifted
+INF = 2**61  # above any state, and twice it is still a BIGINT: with such a t no state is shifted
 PATCH = "struct<t:bigint,steps:array<struct<upto:bigint,val:bigint>>>"
 
 
@@ -44,15 +44,15 @@ def _identity() -> Column:
     return _patch(_big(0), F.array(_step(_big(0), _big(0))))
 
 
-def _then_operation(f: Column, x: Column) -> Column:
-    """The patch f followed by one operation x (op, qty)."""
+def _then_operation(f: Column, x: Column, largest: int) -> Column:
+    """The patch f followed by one operation x (op, qty). No state is above ``largest``: beyond it no steps are kept."""
     a, t, steps = x["qty"], f["t"], f["steps"]
     opened = F.transform(steps, lambda s: _step(s["upto"], F.when(s["val"] == 0, a).otherwise(s["val"])))
     lowered = F.transform(steps, lambda s: _step(s["upto"], F.greatest(s["val"] - a, _big(0))))
     end = t + a
     tail = F.element_at(steps, -1)["val"] <= a  # the last step has become 0 too: the new zero step only extends it
     kept = F.when(tail, F.slice(lowered, F.lit(1), F.size(steps) - 1)).otherwise(lowered)
-    reduced = F.when(t >= _big(INF), _patch(t, lowered)).otherwise(_patch(end, F.concat(kept, F.array(_step(end, _big(0))))))
+    reduced = F.when(t >= _big(largest), _patch(t, lowered)).otherwise(_patch(end, F.concat(kept, F.array(_step(end, _big(0))))))
     closed = _patch(_big(INF), F.array(_step(_big(INF), _big(0))))
     return F.when(x["op"] == OPEN, _patch(t, opened)).when(x["op"] == CLOSE, closed).otherwise(reduced)
 
@@ -62,61 +62,55 @@ def apply_patch(g: Column, s: Column) -> Column:
     return F.when(s > g["t"], s - g["t"]).otherwise(F.filter(g["steps"], lambda x: x["upto"] >= s)[0]["val"])
 
 
-def compose(f: Column, g: Column) -> Column:
-    """The patch f followed by the patch g."""
+def compose(f: Column, g: Column, largest: int) -> Column:
+    """The patch f followed by the patch g, on states up to ``largest``."""
     head = F.transform(f["steps"], lambda s: _step(s["upto"], apply_patch(g, s["val"])))
     shifted = F.transform(F.filter(g["steps"], lambda s: s["upto"] > 0), lambda s: _step(F.least(s["upto"] + f["t"], _big(INF)), s["val"]))
-    steps = F.when(f["t"] >= _big(INF), head).otherwise(F.concat(head, shifted))
+    steps = F.when(f["t"] >= _big(largest), head).otherwise(F.concat(head, shifted))
     return _patch(F.least(f["t"] + g["t"], _big(INF)), steps)
 
 
-def _thin(patch: Column) -> Column:
-    """Merge neighbouring steps of one value."""
+def _thin(patch: Column, largest: int) -> Column:
+    """Merge neighbouring steps of one value and drop those that begin above ``largest``. patch: a lambda's variable, else it is evaluated for every step."""
     steps = patch["steps"]
-    return _patch(patch["t"], F.filter(steps, lambda s, i: (i == F.size(steps) - 1) | (F.get(steps, i + 1)["val"] != s["val"])))
-
-
-def patches(ops: DataFrame, keys: Sequence[str], order: str, last: int, chunk: int = 16384, fan_in: int = 256) -> DataFrame:
-    """keys and ``patch``, one row per key: all its operations composed in the order of ``order``.
-
-    ops: keys, ``order`` (BIGINT, unique inside a key), ``op``, ``qty``. last: a bound on ``order``, from which
-    the height of the tree follows (1 where every range is the first).
-    """
-    fold = F.aggregate("ops", _identity().cast(PATCH), _then_operation)
-    level = (
-        ops.withColumn("part", F.expr(f"{order} div {chunk}"))
-        .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "op", "qty"))).alias("ops"))
-        .select(*keys, "part", _thin(fold).cast(PATCH).alias("patch"))
-    )
-    parts = max(last, 0) // chunk + 1
-    while parts > 1:
-        pair = F.aggregate("ps", _identity().cast(PATCH), lambda f, x: compose(f, x["patch"]))
-        level = (
-            level.groupBy(*keys, F.expr(f"part div {fan_in}").alias("part"))
-            .agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("at"), "patch"))).alias("ps"))
-            .select(*keys, "part", _thin(pair).cast(PATCH).alias("patch"))
-        )
-        parts = (parts - 1) // fan_in + 1
-    return level.select(*keys, "patch")
+    needed = lambda s, i: ((i == F.size(steps) - 1) | (F.get(steps, i + 1)["val"] != s["val"])) & ((i == 0) | (F.get(steps, i - 1)["upto"] < _big(largest)))
+    return _patch(patch["t"], F.filter(steps, needed))
 
 
 def apply_feed(
-    ops: DataFrame, keys: Sequence[str], order: str, last: int, base: DataFrame | None = None, state: str = "size_left", chunk: int = 16384, fan_in: int = 256
+    ops: DataFrame, keys: Sequence[str], order: str, last: int, largest: int, base: DataFrame | None = None, state: str = "size_left", chunk: int = 4096, fan_in: int = 256
 ) -> DataFrame:
     """The state of every key that exists after all operations: keys and ``state`` (BIGINT, above 0).
 
+    ops: keys, ``order`` (BIGINT, unique inside a key), ``op``, ``qty``. last: a bound on ``order``, from which the height of
+    the tree follows (1 where every range is the first). largest: a bound on the quantities of opens and the base's states.
     base: keys and ``state`` before the feed, one row per key; without it nothing exists before. Base
     records that no operation names stay as they are. NULL key parts are values of their own.
     An empty feed gives the base; operations that meet no existing record have no effect, opens apart.
     """
-    done = patches(ops, keys, order, last, chunk, fan_in)
-    if base is None:
-        left = done.select(*keys, apply_patch(F.col("patch"), _big(0)).alias(state))
-    else:
-        both = done.withColumn("__old", _big(0)).unionByName(
-            base.select(*keys, F.lit(None).cast(PATCH).alias("patch"), F.col(state).cast("bigint").alias("__old"))
+    keys = list(keys)
+    level = (
+        ops.withColumn("part", F.expr(f"{order} div {chunk}"))
+        .groupBy(*keys, "part")
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "op", "qty"))).alias("xs"))
+    )
+    step, parts = (lambda f, x: _then_operation(f, x, largest)), max(last, 0) // chunk + 1
+    while parts > 1:
+        patched = F.aggregate("xs", _identity().cast(PATCH), step, lambda f: _thin(f, largest).cast(PATCH))
+        level = (
+            level.select(*keys, F.expr(f"part div {fan_in}").alias("up"), F.struct(F.col("part").alias("at"), patched.alias("patch")).alias("x"))
+            .groupBy(*keys, F.col("up").alias("part"))
+            .agg(F.sort_array(F.collect_list("x")).alias("xs"))
         )
-        merged = both.groupBy(*keys).agg(F.max("__old").alias("__old"), F.first("patch", ignorenulls=True).alias("patch"))
-        left = merged.select(*keys, F.coalesce(apply_patch(F.col("patch"), F.col("__old")), F.col("__old")).alias(state))
-    return left.where(F.col(state) > 0)
+        step, parts = (lambda f, x: compose(f, x["patch"], largest).cast(PATCH)), (parts - 1) // fan_in + 1
+    exists = lambda s: s > 0
+    if base is None:  # in the aggregate's last step and an explode, so that it is evaluated once
+        done = F.aggregate("xs", _identity().cast(PATCH), step, lambda f: F.filter(F.array(apply_patch(f, _big(0))), exists))
+        return level.select(*keys, F.explode(done).alias(state))
+    patched = F.aggregate("xs", _identity().cast(PATCH), step, lambda f: _thin(f, largest).cast(PATCH))
+    both = level.select(*keys, patched.alias("patch"), _big(0).alias("__old")).unionByName(
+        base.select(*keys, F.lit(None).cast(PATCH).alias("patch"), F.col(state).cast("bigint").alias("__old"))
+    )
+    merged = both.groupBy(*keys).agg(F.max("__old").alias("__old"), F.first("patch", ignorenulls=True).alias("patch"))
+    after = F.coalesce(apply_patch(F.col("patch"), F.col("__old")), F.col("__old"))
+    return merged.select(*keys, F.explode(F.filter(F.array(after), exists)).alias(state))

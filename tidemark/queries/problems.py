@@ -36,12 +36,14 @@ def p1_series(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _last_seq(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "messages").agg(F.max("seq")).first()[0] or 0
+def _bounds(spark: SparkSession, d: str) -> tuple[int, int]:
+    """The greatest seq and the greatest size of all messages, 0 without any."""
+    last, largest = table(spark, d, "messages").agg(F.max("seq"), F.max("size")).first()
+    return last or 0, largest or 0
 
 
 def _stale(spark: SparkSession, d: str) -> DataFrame:
-    return stale_references(operations(table(spark, d, "messages")), ORDER, "seq", _last_seq(spark, d))
+    return stale_references(operations(table(spark, d, "messages")), ORDER, "seq", _bounds(spark, d)[0])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +90,7 @@ def p5_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return apply_feed(operations(table(spark, d, "messages")), ORDER, "seq", _last_seq(spark, d))
+    return apply_feed(operations(table(spark, d, "messages")), ORDER, "seq", *_bounds(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_report, p2_tables, p4_found, p5_found, p5_fields, p6_found)}
