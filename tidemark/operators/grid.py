@@ -68,7 +68,7 @@ def regular_grid(
     in_slice = Window.partitionBy(*k, "__slice").orderBy("__t", "__o", *v, *s)
     held = F.lead("__t").over(in_slice) - F.col("__t")
     if max_hold is not None:
-        held = F.least(held, F.lit(max_hold))
+        held = F.when(held.isNotNull(), F.least(held, F.lit(max_hold)))
     last = F.struct("__t", "__o", *v, *s)
     sliced = (
         rows.withColumn("__held", held)

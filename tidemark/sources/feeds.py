@@ -23,7 +23,7 @@ CSV_COLUMNS = ("time", "type", "order_id", "size", "price", "direction")
 
 
 def find_days(spark: SparkSession, folder: str) -> DataFrame:
-    """symbol, trade_date, levels, messages and depth (paths) of the days of which both files are there."""
+    """symbol, trade_date, levels, messages and depth (paths) of the days of which both files are there. An empty file counts as missing."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
     part = lambda i: F.regexp_extract("path", NAME, i)
     named = files.select("path", part(1).alias("symbol"), part(2).alias("trade_date"), part(5).alias("kind"), part(6).cast("int").alias("levels")).where("kind <> ''")
