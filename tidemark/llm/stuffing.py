@@ -42,6 +42,7 @@ LINK = "\x01"
 
 def _links(text: str) -> tuple[str, int, int]:
     """The text with links as marks, the number of links and the characters of their text and address."""
+    text = text.replace(LINK, " ")
     found = [0, 0]
 
     def take(m: re.Match) -> str:
