@@ -50,7 +50,7 @@ def _depth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "depth_primary")
 
 
-_FEED = """f AS (SELECT symbol, trade_date, seq, ts_ns, coalesce(type, 0) AS type, coalesce(order_id, 0) AS order_id, coalesce(size, 0) AS size, coalesce(price, 0) AS price, coalesce(direction, 0) AS direction
+_FEED = """f AS (SELECT symbol, trade_date, seq, ts_ns, coalesce(type, 0)::INT AS type, coalesce(order_id, 0) AS order_id, coalesce(size, 0) AS size, coalesce(price, 0) AS price, coalesce(direction, 0) AS direction
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date, seq ORDER BY recv_ts DESC NULLS LAST, type DESC NULLS LAST, order_id DESC NULLS LAST, size DESC NULLS LAST,
     price DESC NULLS LAST, direction DESC NULLS LAST, ts_ns DESC NULLS LAST) AS rn FROM messages WHERE seq IS NOT NULL) WHERE rn = 1)"""
 _LIFE = f"""{_FEED},
@@ -130,7 +130,7 @@ def level_running_qty(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_LIFE} SELECT symbol, trade_date, side, px, sum(rest)::BIGINT AS qty, count(*) AS n_orders,
-  row_number() OVER (PARTITION BY symbol, trade_date, side ORDER BY px * side DESC) AS level FROM z GROUP BY symbol, trade_date, side, px""")
+  (row_number() OVER (PARTITION BY symbol, trade_date, side ORDER BY px * side DESC))::INT AS level FROM z GROUP BY symbol, trade_date, side, px""")
 def closing_depth(spark: SparkSession, d: str) -> DataFrame:
     return orders.closing_levels(_feed(spark, d), _last(spark, d))
 
@@ -160,7 +160,7 @@ o AS (SELECT *, lag(pb, 1, {NO_BID}) OVER u AS pb0, lag(qb, 1, 0) OVER u AS qb0,
 SELECT symbol, trade_date, seq, type::INT AS type, pb AS best_bid, qb AS bid_qty, pa AS best_ask, qa AS ask_qty,
   (CASE WHEN pb = {NO_BID} OR pb0 = {NO_BID} OR pa = {NO_ASK} OR pa0 = {NO_ASK} THEN 0 ELSE CASE WHEN pb >= pb0 THEN qb ELSE 0 END - CASE WHEN pb <= pb0 THEN qb0 ELSE 0 END
     - CASE WHEN pa <= pa0 THEN qa ELSE 0 END + CASE WHEN pa >= pa0 THEN qa0 ELSE 0 END END)::BIGINT AS ofi_e,
-  CASE WHEN type IN (4, 5) THEN size ELSE 0 END AS trade_qty, CASE WHEN type NOT IN (4, 5) THEN 0 WHEN direction >= 0 THEN 1 ELSE -1 END AS trade_side FROM o""")
+  (CASE WHEN type IN (4, 5) THEN size ELSE 0 END)::BIGINT AS trade_qty, (CASE WHEN type NOT IN (4, 5) THEN 0 WHEN direction >= 0 THEN 1 ELSE -1 END)::BIGINT AS trade_side FROM o""")
 def replay_message_only(spark: SparkSession, d: str) -> DataFrame:
     return rp.replay(_feed(spark, d)).drop("ts_ns")
 
@@ -312,7 +312,7 @@ def ofi_regression(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*SESSION, "n", *[F.round(c, k).alias(c) for c, k in places.items()])
 
 
-@query(f"""WITH {_FEATURES}, dd AS (SELECT d.*, bucket_s FROM d, (SELECT unnest([1, 5, 10, 30, 60]) AS bucket_s)),
+@query(f"""WITH {_FEATURES}, dd AS (SELECT d.*, bucket_s FROM d, (SELECT unnest([1, 5, 10, 30, 60]::BIGINT[]) AS bucket_s)),
 {_buckets("bucket_s::BIGINT * 1000000000", "symbol, trade_date, bucket_s", "dd")}, {_regression_sql("symbol, trade_date, bucket_s")}""")
 def bucket_sweep(spark: SparkSession, d: str) -> DataFrame:
     r = research.bucket_sweep(_features(spark, d)).where("n >= 10")
@@ -360,7 +360,7 @@ def adverse_selection_1s(spark: SparkSession, d: str) -> DataFrame:
     return adverse_selection(table(spark, d, "fills"), _features(spark, d)).withColumn("adverse_ticks", F.round("adverse_ticks", ROUND))
 
 
-@query("SELECT DISTINCT fill_id, round(CASE WHEN passive = 1 THEN -0.0020 ELSE 0.0030 END * qty, 6) AS fee_due, round(price / 10000.0, 4) AS price_usd FROM fills")
+@query("SELECT DISTINCT fill_id, round((CASE WHEN passive = 1 THEN -0.0020 ELSE 0.0030 END)::DOUBLE * qty, 6) AS fee_due, round(price / 10000.0, 4) AS price_usd FROM fills")
 def fee_schedule(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "fills").distinct()
     return f.select("fill_id", F.round(fee(F.col("passive") == 1, F.col("qty"), F.col("price")), ROUND).alias("fee_due"), F.round(F.col("price") / 10000.0, 4).alias("price_usd")).distinct()
