@@ -40,7 +40,7 @@ def test_small_replay():
 
 
 def test_seed_and_start():
-    seed = [{"side": 1, "px": 1000, "sz": 100}, {"side": -1, "px": 1100, "sz": 40}]
+    seed = "-1:1100:40;1:1000:100"
     r, out = replay_rows([(1, 1, 1, 100, 1000, 1), (2, 3, 1, 100, 1000, 1)], start=1, seed=seed)
     assert out[0][3] == 1000 and out[1][3] == NO_BID and out[1][5] == 1100
     assert r.applied["unknown_id"] == 1

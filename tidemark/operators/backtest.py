@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.signals import SESSION
 from ..schema import BUY, DELETE, EXEC_HIDDEN, EXEC_VISIBLE, NEW_LIMIT, NO_ASK, NO_BID, NS_PER_SEC, PARTIAL_CANCEL, PRICE_SCALE, SELL
 from .book import Message, OrderBook, apply_message, ofi_term, resync
-from .replay import ordered_scan, with_snapshots
+from .replay import ordered_scan, parse_seed, parse_snapshot, with_snapshots
 
 PESSIMISTIC, PRO_RATA, OPTIMISTIC = "Pessimistic", "ProRata", "Optimistic"
 
@@ -505,9 +505,9 @@ class _Run:
         _, _, spec_id, _, ts, kind, order_id, size, price, direction, seed, snap = v
         if self.bt is None:
             spec = self.specs[spec_id]
-            self.bt = Backtest(spec, self.make(spec), [(x["side"], x["px"], x["sz"]) for x in seed or ()])
+            self.bt = Backtest(spec, self.make(spec), parse_seed(seed))
         ts = self.now = max(self.now, ts) if ts is not None else self.now
-        levels = None if snap is None else {SELL: [(x["px"], x["sz"]) for x in snap["asks"]], BUY: [(x["px"], x["sz"]) for x in snap["bids"]]}
+        levels = None if snap is None else parse_snapshot(snap)
         self.bt.message(Message(ts, kind, order_id, size, price, BUY if direction >= 0 else SELL), levels)
         return []
 

@@ -10,14 +10,14 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.signals import SESSION
 from ..schema import BUY, EXEC_HIDDEN, EXEC_VISIBLE, NO_ASK, NO_BID, SELL, depth_columns
 from .book import APPLY_COUNTERS, BOOK_COUNTERS, RESYNC_COUNTERS, Message, OrderBook, apply_message, ofi_term, resync
-from .depth import compare_levels, seeds
+from .depth import compare_levels, real_levels, seeds
 
 
 def feed(messages: DataFrame) -> DataFrame:
@@ -59,7 +59,10 @@ def ordered_scan(df: DataFrame, session: Sequence[str], order: str | Sequence[st
         if state is not None and (out := [(*key, *r) for r in state.end()]):
             yield _batch(out, kind)
 
-    return df.repartition(*[F.col(c) for c in session]).sortWithinPartitions(*session, *([order] if isinstance(order, str) else order)).mapInArrow(run, full)
+    # A fixed number, which adaptive execution leaves alone: it goes by bytes and would put many sessions of work into few tasks.
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *[F.col(c) for c in session]).sortWithinPartitions(*session, *([order] if isinstance(order, str) else order)).mapInArrow(run, full)
 
 
 def _arrow(t: T.DataType) -> pa.DataType:
@@ -93,6 +96,17 @@ def padded(book: OrderBook, side: int, k: int) -> list[dict]:
     return got + [{"px": NO_BID if side == BUY else NO_ASK, "sz": 0}] * (k - len(got))
 
 
+def parse_seed(text: str | None) -> list[tuple[int, int, int]]:
+    """(side, price, size) of a seed written as ``side:price:size;...``."""
+    return [tuple(map(int, x.split(":"))) for x in text.split(";")] if text else []
+
+
+def parse_snapshot(text: str) -> dict[int, list[tuple[int, int]]]:
+    """Per side the (price, size) levels of a snapshot written as ``asks|bids``, each ``price:size;...``."""
+    asks, bids = ([tuple(map(int, x.split(":"))) for x in part.split(";")] if part else [] for part in text.split("|"))
+    return {SELL: asks, BUY: bids}
+
+
 class Replay:
     """The state of one session: rows are (symbol, trade_date, seq, ts_ns, type, order_id, size, price, direction, seed, snap).
 
@@ -107,15 +121,15 @@ class Replay:
     def row(self, v: tuple) -> list[tuple]:
         _, _, seq, ts, kind, order_id, size, price, direction, seed, snap = v
         ts = self.now = ts if ts is not None else self.now
-        for x in seed or ():
-            self.book.add_anon(x["side"], x["px"], x["sz"])
+        for planted in parse_seed(seed):
+            self.book.add_anon(*planted)
         side = BUY if direction >= 0 else SELL
         ofi = trade = traded = 0
         if self.n >= self.start:
             before = self.book.touch()
             apply_message(self.book, Message(ts, kind, order_id, size, price, side), self.applied, self.purge)
             if snap is not None:
-                resync(self.book, {SELL: [(x["px"], x["sz"]) for x in snap["asks"]], BUY: [(x["px"], x["sz"]) for x in snap["bids"]]}, self.synced)
+                resync(self.book, parse_snapshot(snap), self.synced)
             ofi = ofi_term(before, self.book.touch())
             if kind in (EXEC_VISIBLE, EXEC_HIDDEN):
                 trade, traded = size, side
@@ -137,24 +151,25 @@ STATS = T.StructType([T.StructField(c, T.LongType()) for c in (*APPLY_COUNTERS,
 
 
 def with_snapshots(messages: DataFrame, depth: DataFrame | None, levels: int, seed: bool, snapshot: bool) -> DataFrame:
-    """The feed with ``seed`` (on each session's first message) and ``snap`` (the depth row of the same seq, its real levels)."""
-    level = "array<struct<side:int,px:bigint,sz:bigint>>"
-    snap = "struct<asks:array<struct<px:bigint,sz:bigint>>,bids:array<struct<px:bigint,sz:bigint>>>"
-    rows = messages
+    """The feed with ``seed`` (on each session's first message) and ``snap`` (the depth row of the same seq, its real levels).
+
+    Both are written as text: nested columns, even NULL ones, would be most of the cost of handing rows to Python.
+    """
+    rows = messages.withColumns({"seed": F.lit(None).cast("string"), "snap": F.lit(None).cast("string")})
     if depth is not None and seed:
-        s = seeds(depth, levels).groupBy(*SESSION).agg(F.sort_array(F.collect_list(F.struct(F.col("side").cast("int"), F.col("px").cast("bigint"), F.col("sz").cast("bigint")))).cast(level).alias("seed"))
+        level = F.concat_ws(":", "side", "px", "sz")
+        s = seeds(depth, levels).groupBy(*SESSION).agg(F.array_join(F.sort_array(F.collect_list(level)), ";").alias("seed"))
         firsts = messages.groupBy(*SESSION).agg(F.min("seq").alias("seq")).join(s, list(SESSION))
-        rows = rows.join(firsts, [*SESSION, "seq"], "left")
-    else:
-        rows = rows.withColumn("seed", F.lit(None).cast(level))
+        rows = rows.drop("seed").join(firsts, [*SESSION, "seq"], "left")
     if depth is not None and snapshot:
         cols = depth_columns(levels)
-        real = lambda side: F.filter(F.array(*[F.struct(F.col(f"{side}_px_{j}").alias("px"), F.col(f"{side}_sz_{j}").cast("bigint").alias("sz")) for j in range(1, levels + 1)]), lambda x: (x["sz"] > 0) & ~x["px"].isin(NO_ASK, NO_BID))
-        one = depth.where("seq IS NOT NULL").groupBy(*SESSION, "seq").agg(F.max(F.struct(*cols)).alias("d")).select(*SESSION, "seq", "d.*")
-        one = one.select(*SESSION, "seq", F.struct(real("ask").alias("asks"), real("bid").alias("bids")).cast(snap).alias("snap"))
-        rows = rows.join(one, [*SESSION, "seq"], "left")
-    else:
-        rows = rows.withColumn("snap", F.lit(None).cast(snap))
+
+        def side(name: str) -> Column:
+            real = real_levels(F.array(*[F.struct(F.col(f"d.{name}_px_{j}").alias("px"), F.col(f"d.{name}_sz_{j}").alias("sz")) for j in range(1, levels + 1)]))
+            return F.array_join(F.transform(real, lambda x: F.concat_ws(":", x["px"], x["sz"])), ";")
+
+        one = depth.where("seq IS NOT NULL").groupBy(*SESSION, "seq").agg(F.max(F.struct(*cols)).alias("d")).select(*SESSION, "seq", F.concat(side("ask"), F.lit("|"), side("bid")).alias("snap"))
+        rows = rows.drop("snap").join(one, [*SESSION, "seq"], "left")
     return rows.select(*SESSION, "seq", "ts_ns", F.col("type").cast("int").alias("type"), "order_id", "size", "price", "direction", "seed", "snap")
 
 
