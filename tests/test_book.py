@@ -29,8 +29,7 @@ def test_features_and_flow():
     assert (out[1][3], out[1][5]) == (1000, 1100)
     assert [r[7] for r in out[2:]] == [50, 30, -20]
     assert (out[3][8], out[3][9]) == (30, -1)
-    assert out[4][10] == [{"px": 1050, "sz": 20}, {"px": 1100, "sz": 70}]
-    assert out[4][11] == [{"px": 1000, "sz": 150}, {"px": NO_BID, "sz": 0}]
+    assert list(out[4][10:]) == [1050, 20, 1000, 150, 1100, 70, NO_BID, 0]
 
 
 def test_small_replay():

@@ -14,7 +14,7 @@ from tidemark.operators.asof import asof_join
 from tidemark.operators.backtest import OfiStrategy, RunSpec, max_drawdown, sharpe_ratio
 from tidemark.operators.depth import features_from_depth, seeds, walk
 from tidemark.operators.orders import closing_levels, level_changes, lifecycle, queue_positions
-from tidemark.operators.replay import MODES, replay, replay_stats, validate
+from tidemark.operators.replay import MODES, explain_row, replay, replay_stats, validate
 from tidemark.schema import NO_ASK, NO_BID
 
 FEATURES = "symbol string, trade_date string, seq bigint, ts_ns bigint, mid double, ofi_e bigint, bid_qty int, ask_qty int, trade_qty int"
@@ -166,3 +166,6 @@ def test_replay_modes_and_counters(spark):
     assert all(r.messages == r.resync_rows == (feed.where(F.col("symbol") == r.symbol).count() - 1) for r in st)
     with pytest.raises(ValueError):
         replay(feed, mode="other")
+    seq = wide.where("symbol = 'A' AND ask_sz_1 > 0").orderBy(F.desc("seq")).first().seq
+    rows = explain_row(feed, wide, "A", "d", seq, levels=2).collect()
+    assert rows and all((r.rebuilt_px, r.rebuilt_sz, r.seq) == (r.recorded_px, r.recorded_sz, seq) for r in rows)

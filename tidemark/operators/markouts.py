@@ -38,3 +38,8 @@ def adverse_selection(fills: DataFrame, features: DataFrame, horizon_s: float =
     """Per run the mean signed mid move in ticks ``horizon_s`` after its fills: below 0 they were picked off. NULL if no fill has a mid."""
     m = _mids(fills, features, [int(horizon_s * NS_PER_SEC)])
     return m.groupBy("run_id").agg(F.avg((F.col("m1") - F.col("m0")) * TICKS_PER_UNIT * F.col("side")).alias("adverse_ticks"), F.count(F.lit(1)).alias("n_fills"))
+
+
+def for_display(fills: DataFrame, ts: str = "ts") -> DataFrame:
+    """The fills with ``price_usd`` and ``time`` (a timestamp of microseconds after midnight of 1970-01-01; the nanoseconds stay in ``ts``)."""
+    return fills.withColumns({"price_usd": F.col("price") / PRICE_SCALE, "time": F.timestamp_micros(F.expr(f"{ts} div 1000"))})

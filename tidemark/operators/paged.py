@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize, stored
 
 PAGE = 16384
 
@@ -36,7 +36,7 @@ def paged_fold(
     by = Window.partitionBy(*keys).orderBy("page")
     linked = materialize(first.withColumn("parent", F.lag("page").over(by)).withColumn("more", F.lead("page").over(by).isNotNull()).withColumn("opening", nothing))
     alone = linked.where("parent IS NULL AND NOT more").select(*keys, "page", "r")
-    chain = linked.where("parent IS NOT NULL OR more")
+    chain, path = linked.where("parent IS NOT NULL OR more"), None
     for _ in range(max_rounds):
         left = chain.where("more").select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("page").alias("__page"), F.col("r.state").alias("__state"))
         same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]) & (F.col("parent") == F.col("__page"))
@@ -45,5 +45,8 @@ def paged_fold(
             return alone.unionByName(chain.select(*keys, "page", "r"))
         changed = F.col("__page").isNotNull() & moved
         again = chain.join(left, same, "left").withColumn("r", F.when(changed, read(F.col("items"), F.col("__state"))).otherwise(F.col("r")))
-        chain = materialize(again.withColumn("opening", F.when(changed, F.col("__state")).otherwise(F.col("opening"))).select(*chain.columns))
+        old = path
+        chain, path = stored(again.withColumn("opening", F.when(changed, F.col("__state")).otherwise(F.col("opening"))).select(*chain.columns))
+        if old:  # a round's table is read by the next round only
+            discard(rows.sparkSession, old)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

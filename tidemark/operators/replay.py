@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.signals import SESSION
 from ..schema import BUY, EXEC_HIDDEN, EXEC_VISIBLE, NO_ASK, NO_BID, SELL, depth_columns
 from .book import APPLY_COUNTERS, BOOK_COUNTERS, RESYNC_COUNTERS, Message, OrderBook, apply_message, ofi_term, resync
-from .depth import compare_levels, real_levels, seeds
+from .depth import compare_levels, long_levels, real_levels, seeds
 
 
 def feed(messages: DataFrame) -> DataFrame:
@@ -77,7 +77,6 @@ def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
 
-LEVELS = T.ArrayType(T.StructType([T.StructField("px", T.LongType()), T.StructField("sz", T.LongType())]))
 REPLAY = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -86,14 +85,13 @@ REPLAY = T.StructType(
         *[T.StructField(c, T.LongType()) for c in ("best_bid", "bid_qty", "best_ask", "ask_qty", "ofi_e", "trade_qty", "trade_side")],
     ]
 )
-DEPTH = T.StructType([T.StructField("asks", LEVELS), T.StructField("bids", LEVELS)])
 MODES = ("message_only", "priority_purge", "snapshot_resync")
 
 
-def padded(book: OrderBook, side: int, k: int) -> list[dict]:
-    """The best k levels of a side with spelled-out empty ones behind."""
-    got = [{"px": p, "sz": q} for p, q, _ in book.depth(side, k)]
-    return got + [{"px": NO_BID if side == BUY else NO_ASK, "sz": 0}] * (k - len(got))
+def padded(book: OrderBook, k: int) -> list[int]:
+    """The best k levels in the order of ``depth_columns``, with spelled-out empty ones behind."""
+    asks, bids = ([*((p, q) for p, q, _ in book.depth(side, k)), *[(none, 0)] * (k - book.num_levels(side))] for side, none in ((SELL, NO_ASK), (BUY, NO_BID)))
+    return [x for a, b in zip(asks, bids) for x in (*a, *b)]
 
 
 def parse_seed(text: str | None) -> list[tuple[int, int, int]]:
@@ -138,7 +136,7 @@ class Replay:
             return []
         bid, bid_qty, ask, ask_qty = self.book.touch()
         out = (seq, ts, kind, bid, bid_qty, ask, ask_qty, ofi, trade, traded)
-        return [(*out, padded(self.book, SELL, self.k), padded(self.book, BUY, self.k)) if self.k else out]
+        return [(*out, *padded(self.book, self.k)) if self.k else out]
 
     def end(self) -> list[tuple]:
         if not self.stats_only:
@@ -173,18 +171,27 @@ def with_snapshots(messages: DataFrame, depth: DataFrame | None, levels: int, se
     return rows.select(*SESSION, "seq", "ts_ns", F.col("type").cast("int").alias("type"), "order_id", "size", "price", "direction", "seed", "snap")
 
 
+def replay_wide(messages: DataFrame, depth: DataFrame | None, levels: int, mode: str, start: int, depth_k: int, seed: bool) -> DataFrame:
+    """``replay`` with its depth in the wide columns of ``depth_columns``: flat rows come back from Python much faster than nested ones."""
+    if mode not in MODES:
+        raise ValueError(f"mode is none of {', '.join(MODES)}: {mode}")
+    rows = with_snapshots(messages, depth, levels, seed, mode == "snapshot_resync")
+    purge = mode != "message_only"
+    kind = T.StructType([*REPLAY.fields, *[T.StructField(c, T.LongType()) for c in depth_columns(depth_k)]])
+    return ordered_scan(rows, SESSION, "seq", lambda: Replay(start, depth_k, purge, False), kind)
+
+
 def replay(messages: DataFrame, depth: DataFrame | None = None, levels: int = 3, mode: str = "message_only", start: int = 0, depth_k: int = 0, seed: bool = False) -> DataFrame:
     """A row per message of each session: seq, ts_ns, type, touch, ofi_e, trade_qty, trade_side, and for depth_k > 0 ``asks`` and ``bids``.
 
     messages: a ``feed``. mode: message_only, priority_purge, or snapshot_resync (with purge, put right by the depth row of the same seq). Messages
     before the ``start``-th of a session aren't applied: they show the seed and have no flow.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode is none of {', '.join(MODES)}: {mode}")
-    rows = with_snapshots(messages, depth, levels, seed, mode == "snapshot_resync")
-    purge = mode != "message_only"
-    kind = T.StructType([*REPLAY.fields, *(DEPTH.fields if depth_k else [])])
-    return ordered_scan(rows, SESSION, "seq", lambda: Replay(start, depth_k, purge, False), kind)
+    out = replay_wide(messages, depth, levels, mode, start, depth_k, seed)
+    if not depth_k:
+        return out
+    side = lambda s: F.array(*[F.struct(F.col(f"{s}_px_{j}").alias("px"), F.col(f"{s}_sz_{j}").alias("sz")) for j in range(1, depth_k + 1)]).alias(f"{s}s")
+    return out.select(*SESSION, *[f.name for f in REPLAY.fields], side("ask"), side("bid"))
 
 
 def replay_stats(messages: DataFrame, depth: DataFrame | None = None, levels: int = 3, mode: str = "message_only", start: int = 0, seed: bool = False) -> DataFrame:
@@ -203,10 +210,19 @@ def validate(messages: DataFrame, depth: DataFrame, levels: int = 3, modes: Sequ
     """
     out = None
     for mode in modes:
-        got = replay(messages, depth, levels, mode, 1, levels, True)
-        cols = [F.col(f"{s}s")[j - 1][w].alias(f"{a}_{j}") for j in range(1, levels + 1) for s, w, a in (("ask", "px", "ask_px"), ("ask", "sz", "ask_sz"), ("bid", "px", "bid_px"), ("bid", "sz", "bid_sz"))]
-        one = compare_levels(got.select(*SESSION, "seq", *cols), depth, levels).select(
+        got = replay_wide(messages, depth, levels, mode, 1, levels, True)
+        one = compare_levels(got, depth, levels).select(
             F.lit(mode).alias("mode"), *SESSION, "n_rows", "n_exact", "n_l1_exact", (100.0 * F.col("n_exact") / F.col("n_rows")).alias("exact_pct"), (100.0 * F.col("n_l1_exact") / F.col("n_rows")).alias("l1_pct"), "first_mismatch"
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def explain_row(messages: DataFrame, depth: DataFrame, symbol: str, trade_date: str, seq: int, mode: str = "priority_purge", levels: int = 3) -> DataFrame:
+    """One message with the rebuilt and the recorded depth after it: a row per level and side. Only its session is replayed."""
+    one = (F.col("symbol") == symbol) & (F.col("trade_date") == trade_date)
+    got = replay_wide(messages.where(one), depth.where(one), levels, mode, 1, levels, True).where(F.col("seq") == seq)
+    part = lambda df, a, b: long_levels(df, levels).select("side", "level", F.col("px").alias(a), F.col("sz").alias(b))
+    both = part(got, "rebuilt_px", "rebuilt_sz").join(part(depth.where(one & (F.col("seq") == seq)), "recorded_px", "recorded_sz").distinct(), ["side", "level"], "full")
+    message = messages.where(one & (F.col("seq") == seq)).select(F.lit(seq).alias("seq"), "ts_ns", "type", "order_id", "size", "price", "direction")
+    return both.withColumn("seq", F.lit(seq)).join(message, "seq", "left")

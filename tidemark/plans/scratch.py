@@ -28,12 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it read back, with its lineage cut."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; it read back, with its lineage cut, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``stored`` without the path: the table stays for as long as the shared folder does."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
