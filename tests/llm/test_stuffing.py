@@ -19,6 +19,7 @@ SPAM = {
     "bare": "\n".join(f"https://a.example/x/{i}" for i in range(20)),
     "html": "<html><body>" + " | ".join(f'<a href="https://a.example/{i}">boots</a>' for i in range(20)) + "</body></html>",
     "meta": '<html><head><meta name="keywords" content="' + ",".join(["boots", "cheap shoes"] * 20) + '"></head><body><div>' + "boots cheap shoes " * 20 + "</div></body></html>",
+    "some as a keyword": "/*\n" + " * some boots some kopa some same kopa boots some\n" * 12 + " */\n",
     "comment": "/*\n" + " * cheap boots buy shoes best boots online shoes sale boots\n" * 12 + " */\nvar a = 1;\n",
 }
 FINE = {

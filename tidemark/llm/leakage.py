@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import ship
+
 WORD = re.compile("[a-z0-9]+")
 LANES = 64  # items in a block
 TOP = 15  # greatest impact, less for longer runs: the impacts of a segment's words sum to a byte at most
@@ -186,6 +188,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     Several documents rows of one id each come out. Repeated item rows are one; an item id with several texts stands for all of them.
     """
     spark = docs.sparkSession
+    ship(spark)
     clean = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).distinct()
     n = clean.count()
     shards = max(1, -(-n * 5 // (SHARD * 4))) if n > SHARD else 1

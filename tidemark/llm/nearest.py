@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.scratch import checkpointed
+from ..plans.scratch import checkpointed, ship
 
 FAR = np.iinfo(np.int64).max
 ROWS_PER_TASK = 1_000_000
@@ -43,6 +43,7 @@ def nearest_join(
     )
     no = F.lit(None).cast("bigint")
     both = r.select("e", "t", F.lit(0).alias("side"), no.alias("lid"), "rid").unionByName(timed.select("e", "t", F.lit(1).alias("side"), "lid", no.alias("rid")))
+    ship(left.sparkSession)
     rows = left.count() + right.count()
     tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
     by = ["e", "t", "side", "lid"]

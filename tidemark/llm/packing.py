@@ -9,7 +9,7 @@ filling is repeated as a *pattern* as often as the counts allow, so that there a
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import ship
 
 
 @dataclass(frozen=True)
@@ -133,6 +133,7 @@ def pack(sizes: DataFrame, item: str, size: str, specs: DataFrame, spec_id: str,
                 ["item", "piece_no", "from_unit", "n_units", "container_id", "spec_id", "capacity"],
             )
 
+    ship(sizes.sparkSession)
     kind = sizes.schema[item].dataType.simpleString()
     return ranked.mapInArrow(place, f"item {kind}, piece_no bigint, from_unit bigint, n_units bigint, container_id bigint, spec_id bigint, capacity bigint").withColumnRenamed("item", item)
 

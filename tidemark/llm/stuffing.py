@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import ship
+
 # Frequent English function words.
 FUNCTION_WORDS = frozenset(
     "a about after all also an and any are as at be been before behind but by can could did do does each every for from had has have he her his how i if in into is it its"
@@ -38,6 +40,7 @@ _LABEL = re.compile(r"(?:[#@]|tags?:|label:|keywords?:)[\w-]+,?$", re.I)
 _CODE = re.compile(r"""[={}()<>\\`$%&*+\[\]"^~?!]|;\s*$|\w\.\w|\w_\w|->|::""")
 _END = re.compile(r"[.!?:]$")
 LINK = "\x01"
+LONG, VARIETY = 40, 3  # a text of so many words has at least so many different function words, if it has sentences
 
 
 def _links(text: str) -> tuple[str, int, int]:
@@ -71,7 +74,7 @@ def _bare(line: str) -> str:
     return line
 
 
-def line_kind(line: str) -> str:
+def line_kind(line: str, function_words: frozenset[str] | set[str] = FUNCTION_WORDS) -> str:
     """links, labels, list, phrase, run (stuffed) or sentence, code, data, other."""
     marks = line.count(LINK) // 2
     bare = line
@@ -91,7 +94,7 @@ def line_kind(line: str) -> str:
     labels = sum(1 for t in tokens if _LABEL.match(t))
     if labels >= 2 and labels >= 0.8 * len(tokens):
         return "labels"
-    function = sum(w in FUNCTION_WORDS for w in words)
+    function = sum(w in function_words for w in words)
     if function >= 0.12 * len(words) and (len(words) >= 4 or function):
         return "sentence"
     if _CODE.search(line):
@@ -123,18 +126,20 @@ def measure(text: str | None) -> tuple:
     size: Counter = Counter()
     lines: Counter = Counter()
     urls = link_chars / max(n_links, 1)
+    words = _WORD.findall(plain.replace(LINK, " ").lower())
+    n = len(words)
+    top = Counter(words)
+    known = FUNCTION_WORDS & top.keys()
+    if n >= LONG and len(known) < VARIETY:  # keywords that happen to look like function words
+        known = frozenset()
     for raw in plain.splitlines():
         line = _bare(raw)
         if not line:
             continue
         marks = line.count(LINK) // 2
-        size[line_kind(line)] += len(line) + marks * urls * 0.7 if marks else len(line)
+        size[line_kind(line, known)] += len(line) + marks * urls * 0.7 if marks else len(line)
         lines[line] += 1
     total = sum(size.values()) or 1
-    visible = plain.replace(LINK, " ")
-    words = _WORD.findall(visible.lower())
-    n = len(words)
-    top = Counter(words)
     pairs = Counter(zip(words, words[1:]))
     return (
         sum(size[k] for k in STUFFED) / total,
@@ -143,7 +148,7 @@ def measure(text: str | None) -> tuple:
         max(pairs.values(), default=0) * 2 / max(n, 1),
         1 - len(lines) / max(sum(lines.values()), 1),
         len(_PART.findall(plain)) / max(n, 1),
-        sum(top[w] for w in FUNCTION_WORDS) / max(n, 1),
+        sum(top[w] for w in known) / max(n, 1),
         (size["code"] + size["data"]) / total,
         n,
     )
@@ -164,6 +169,7 @@ def text_measures(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFra
                 [b.column(0), b.column(1), *[pa.array(c, pa.float64()) for c in cols[:-1]], pa.array(cols[-1], pa.int64())], ["doc_id", "language", *MEASURES, "n_words"]
             )
 
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.trim(F.coalesce(F.col(lang).cast("string"), F.lit("")))).alias("language"), F.col(text).alias("text"))
     return slim.mapInArrow(run, f"doc_id {kind}, language string, {', '.join(f'{m} double' for m in MEASURES)}, n_words bigint")
