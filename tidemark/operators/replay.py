@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.signals import SESSION
+from ..plans.scratch import ship
 from ..schema import BUY, EXEC_HIDDEN, EXEC_VISIBLE, NO_ASK, NO_BID, SELL, depth_columns
 from .book import APPLY_COUNTERS, BOOK_COUNTERS, RESYNC_COUNTERS, Message, OrderBook, apply_message, ofi_term, resync
 from .depth import compare_levels, long_levels, real_levels, seeds
@@ -61,6 +62,7 @@ def ordered_scan(df: DataFrame, session: Sequence[str], order: str | Sequence[st
 
     # A fixed number, which adaptive execution leaves alone: it goes by bytes and would put many sessions of work into few tasks.
     spark = df.sparkSession
+    ship(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *[F.col(c) for c in session]).sortWithinPartitions(*session, *([order] if isinstance(order, str) else order)).mapInArrow(run, full)
 

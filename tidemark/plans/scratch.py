@@ -7,8 +7,11 @@ unset and the session runs on one machine, as in tests.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +66,24 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """See to it that Python workers can import this package: where neither their folder nor PYTHONPATH has it, Spark hands them an archive of it."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if any(p and Path(p).resolve() == root for p in known):
+        return
+    folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    archive = (folder if folder.is_dir() else Path(tempfile.mkdtemp())) / f"tidemark-{uuid.uuid4().hex}.zip"  # read on the driver, sent by Spark
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "tidemark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))

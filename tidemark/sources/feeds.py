@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.depth import seeds
+from ..plans.scratch import ship
 from ..schema import MESSAGE_SCHEMA, depth_columns, depth_schema
 
 # Fixed value: the pattern of the file names.
@@ -71,6 +72,7 @@ def _rows(days: DataFrame, column: str, n_columns: int) -> DataFrame:
                         )
                         at += n
 
+    ship(days.sparkSession)
     paths = days.select("symbol", "trade_date", F.regexp_replace(column, "^file:/(?!/)", "file:///").alias("path"))
     return paths.repartition(F.col("path")).mapInArrow(read, schema)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.signals import SESSION
+from ..plans.scratch import ship
 from ..operators.book import Message, OrderBook, apply_message, ofi_term
 from ..schema import BUY, EXEC_HIDDEN, EXEC_VISIBLE, SELL
 
@@ -43,6 +44,7 @@ def live_features(messages: DataFrame, purge: bool = False) -> DataFrame:
         state.update((pickle.dumps((book, last, clock)),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
+    ship(messages.sparkSession)
     return messages.groupBy(*SESSION).applyInPandasWithState(step, OUT, "book binary", "append", GroupStateTimeout.NoTimeout)
 
 
