@@ -35,6 +35,7 @@ FINE = {
     "url list in code": "URLS = [\n" + "".join(f'    "https://a.example/{i}",\n' for i in range(30)) + "]\n",
     "lock": "\n".join(f"boots=={i}.2.1" for i in range(30)),
     "half": PROSE * 6 + SPAM["commas"][:300],
+    "a few words": "# to do\n",
     "blank": " \n\t\n",
 }
 

@@ -40,6 +40,7 @@ _LABEL = re.compile(r"(?:[#@]|tags?:|label:|keywords?:)[\w-]+,?$", re.I)
 _CODE = re.compile(r"""[={}()<>\\`$%&*+\[\]"^~?!]|;\s*$|\w\.\w|\w_\w|->|::""")
 _END = re.compile(r"[.!?:]$")
 LINK = "\x01"
+LEAST_UNITS = 8  # words and links below which nothing is strung together
 LONG, VARIETY = 40, 3  # a text of so many words has at least so many different function words, if it has sentences
 
 
@@ -142,7 +143,7 @@ def measure(text: str | None) -> tuple:
     total = sum(size.values()) or 1
     pairs = Counter(zip(words, words[1:]))
     return (
-        sum(size[k] for k in STUFFED) / total,
+        sum(size[k] for k in STUFFED) / total if n + n_links >= LEAST_UNITS else 0.0,
         min(link_chars / len(text), 1.0),
         max(top.values(), default=0) / max(n, 1),
         max(pairs.values(), default=0) * 2 / max(n, 1),
