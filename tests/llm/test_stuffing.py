@@ -54,8 +54,8 @@ def test_whole_query(spark):
     docs = [(i, t, lang) for i, (t, lang) in enumerate([(t, lang) for lang in ("markdown", "Text", None) for t in [*SPAM.values(), *FINE.values(), None, ""]])]
     m = text_measures(spark.createDataFrame(docs, "doc_id bigint, text string, language string"), "doc_id", "text", "language").cache()
     spam = {i for i, t, _ in docs if t in SPAM.values()}
-    for least in (1, 200):
-        assert {r.doc_id for r in stuffed_pages(m, calibrated(m, least)).collect()} == spam
+    for least, most in ((1, 10_000), (1, 0), (200, 10_000)):
+        assert {r.doc_id for r in stuffed_pages(m, calibrated(m, least), broadcast_rows=most).collect()} == spam
     empty = m.limit(0)
     assert stuffed_pages(empty, calibrated(empty)).count() == 0
 

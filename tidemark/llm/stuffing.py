@@ -15,10 +15,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import ship
+from ..plans.scratch import maybe_broadcast, ship
 
 # Frequent English function words.
 FUNCTION_WORDS = frozenset(
@@ -189,24 +189,19 @@ def calibrated(measures: DataFrame, least: int = 200) -> DataFrame:
     return own.unionByName(every).withColumn("max_function", F.greatest(F.coalesce(F.col("b_function"), F.lit(0.0)) / 2, F.lit(0.05)))
 
 
-def stuffed_pages(measures: DataFrame, bounds: DataFrame, share: float = 0.8) -> DataFrame:
+def stuffed_pages(measures: DataFrame, bounds: DataFrame, share: float = 0.8, broadcast_rows: int = 10_000) -> DataFrame:
     """doc_id and its measures, of the texts that are spam.
 
     A text is spam if stuffed lines make up at least ``share`` of it and it departs from its language's ordinary texts: function words
     are rarer than the bound, or the top-word, top-pair, repeated-line, link or separator share is above it. NULL, empty and blank texts never are. Each row of the documents is judged on its own, so that a repeated one comes out as often.
-    measures should be a stored table; bounds has a row per language.
+    measures should be a stored table. bounds has a row per language with enough texts; it is broadcast only if it has at most ``broadcast_rows`` rows.
     """
-    rows = [x.asDict() for x in bounds.collect()]  # a row per language with ``least`` texts at least
-    every = next(r for r in rows if r["language"] is None)
-    table = {r["language"]: r for r in rows if r["language"] is not None}
-
-    def bound(name: str) -> Column:
-        value = F.lit(every[name] if every[name] is not None else 0.0)
-        for lang, r in table.items():
-            value = F.when(F.col("language") == lang, F.lit(r[name])).otherwise(value)
-        return value
-
+    every = bounds.where("language IS NULL").first()  # one row
+    names = [*[f"b_{m}" for m in EVIDENCE], "max_function"]
+    own = bounds.where("language IS NOT NULL").select("language", *[F.col(n).alias(f"__{n}") for n in names])
+    known = measures.join(maybe_broadcast(own, broadcast_rows), "language", "left")
+    bound = lambda n: F.coalesce(F.col(f"__{n}"), F.lit(every[n] if every and every[n] is not None else 0.0))
     evident = F.col("function") <= bound("max_function")
     for m in EVIDENCE:
         evident = evident | (F.col(m) > bound(f"b_{m}"))
-    return measures.where((F.col("stuffed") >= share) & evident)
+    return known.where((F.col("stuffed") >= share) & evident).select(*measures.columns)
