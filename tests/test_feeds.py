@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.__main__ import main
 from tidemark.functions.signals import SESSION
 from tidemark.operators.replay import replay
 from tidemark.sources import feeds
@@ -67,3 +68,12 @@ def test_live_equals_batch(spark, tmp_path):
     b.awaitTermination(120)
     done = spark.table("buckets").collect()
     assert all(r.n_events == 10 for r in done)
+
+
+def test_command_line(spark, folder, capsys):
+    main(["convert", str(folder / "raw"), str(folder / "data"), "--levels", "2"])
+    main(["validate", str(folder / "data"), "--levels", "2", "--out", str(folder / "v.csv")])
+    v = spark.read.option("header", True).csv(str(folder / "v.csv")).collect()
+    assert len(v) == 6 and all(r.n_exact == r.n_rows == "3" for r in v if r["mode"] == "snapshot_resync")
+    main(["backtest", str(folder / "data"), "--levels", "2", "--symbol", "ABC", "--latency-us", "0", "500"])
+    assert "total_pnl" in capsys.readouterr().out
