@@ -82,34 +82,31 @@ def regular_grid(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}t") for c in s],
         )
     )
-    # Inside a slice: belongs to one cell. From a slice's last reading on: to the next slice's first, over any number of cells.
-    inner = sliced.select(
-        *k, _floor_div("__slice", period // width).alias("__cell"), "__n", "__cover", *[f"{c}w" for c in v], *[f"{c}t" for c in s]
-    )
     per_series = Window.partitionBy(*k).orderBy("__slice")
     span = spans.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(start).cast("bigint").alias("__from"), F.col(end).cast("bigint").alias("__to"))
     until = F.least(F.col("__next"), F.col("__to"), *([F.col("__last.__t") + max_hold] if max_hold is not None else []))
-    outer = (
+    sums_of = [*[(f"{c}w", "double") for c in v], *[(f"{c}t", "bigint") for c in s]]
+    kind = f"struct<__cell:bigint,__n:bigint,__cover:bigint{''.join(f',{c}:{t}' for c, t in sums_of)}>"
+
+    def stretch(cell: Column) -> Column:
+        """What the slice's last reading covers of a later cell."""
+        part = F.least(F.col("__b"), (cell + 1) * period) - F.greatest(F.col("__a"), cell * period)
+        return F.struct(cell, F.lit(0), part, *[F.col(f"__last.{c}") * part for c in v], *[F.lit(0) for _ in s]).cast(kind)
+
+    # Inside a slice: belongs to one cell. From a slice's last reading on: to the next slice's first, over any number of cells.
+    inside = F.struct(_floor_div("__slice", period // width), "__n", "__cover", *[c for c, _ in sums_of]).cast(kind)
+    after = F.transform(F.sequence(_floor_div("__a", period), _floor_div(F.col("__b") - 1, period)), stretch)
+    pieces = (
         sliced.withColumn("__next", F.lead("__first").over(per_series))
         .join(span, k)
         .withColumn("__a", F.greatest("__last.__t", F.col("__from")))
         .withColumn("__b", until)
-        .where("__b > __a")
-        .withColumn("__cell", F.explode(F.sequence(_floor_div("__a", period), _floor_div(F.col("__b") - 1, period))))
-        .withColumn("__part", F.least(F.col("__b"), (F.col("__cell") + 1) * period) - F.greatest(F.col("__a"), F.col("__cell") * period))
-        .select(
-            *k,
-            "__cell",
-            F.lit(0).cast("bigint").alias("__n"),
-            F.col("__part").alias("__cover"),
-            *[(F.col(f"__last.{c}") * F.col("__part")).alias(f"{c}w") for c in v],
-            *[F.lit(0).cast("bigint").alias(f"{c}t") for c in s],
-        )
+        .select(*k, F.explode(F.concat(F.array(inside), F.when(F.col("__b") > F.col("__a"), after).otherwise(F.array().cast(f"array<{kind}>")))).alias("__x"))
+        .select(*k, "__x.*")
     )
     filled = (
-        inner.unionByName(outer)
-        .groupBy(*k, "__cell")
-        .agg(*[F.sum(c).alias(c) for c in ("__n", "__cover", *[f"{c}w" for c in v], *[f"{c}t" for c in s])])
+        pieces.groupBy(*k, "__cell")
+        .agg(*[F.sum(c).alias(c) for c in ("__n", "__cover", *[c for c, _ in sums_of])])
     )
     first = -_floor_div(-F.col("__from"), period)
     present = readings.select(*[F.col(c).alias(n) for c, n in zip(keys, k)]).distinct()
