@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from tidemark.__main__ import main
 from tidemark.functions.signals import SESSION
+from tidemark.operators.backtest import Backtest, OfiStrategy, RunSpec
+from tidemark.operators.book import Message
 from tidemark.operators.replay import replay
 from tidemark.sources import feeds
-from tidemark.streaming.live import live_buckets, live_features
+from tidemark.streaming.live import live_buckets, live_features, live_fills
 
 
 def test_times(spark):
@@ -77,3 +79,21 @@ def test_command_line(spark, folder, capsys):
     assert len(v) == 6 and all(r.n_exact == r.n_rows == "3" for r in v if r["mode"] == "snapshot_resync")
     main(["backtest", str(folder / "data"), "--levels", "2", "--symbol", "ABC", "--latency-us", "0", "500"])
     assert "total_pnl" in capsys.readouterr().out
+
+
+def test_live_fills_equal_a_run(spark, tmp_path):
+    rows, spec = [], RunSpec(start_index=0, start_ts=0, end_ts=10**12, window_events=2, zscore_window=4, entry_z=0.5, passive_entry=False, cooldown_ms=0, latency_us=0, max_hold_s=5)
+    for i in range(120):
+        side = 1 if (i // 7) % 2 else -1
+        rows.append(("A", "2031-01-06", i, i * 10**9, 1, i + 1, 10 + i % 5, 1000 - 100 * side * (1 + i % 3), side))
+    schema = "symbol string, trade_date string, seq bigint, ts_ns bigint, type int, order_id bigint, size bigint, price bigint, direction int"
+    src = str(tmp_path / "src")
+    for part in (rows[:50], rows[50:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    q = live_fills(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), spec).writeStream.format("memory").queryName("fills").option("checkpointLocation", str(tmp_path / "cp"))
+    q.trigger(availableNow=True).start().awaitTermination(120)
+    run = Backtest(spec, OfiStrategy(spec))
+    for _, _, _, ts, kind, order_id, size, price, side in rows:
+        run.message(Message(ts, kind, order_id, size, price, side))
+    got = sorted((r.ts, r.order_id, r.price, r.qty) for r in spark.table("fills").collect())
+    assert got == sorted((f.ts, f.order_id, f.price, f.qty) for f in run.fills) and len(got) > 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,12 +13,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.signals import SESSION
 from ..plans.scratch import ship
+from ..operators.backtest import Backtest, OfiStrategy, RunSpec, Strategy
 from ..operators.book import Message, OrderBook, apply_message, ofi_term
 from ..schema import BUY, EXEC_HIDDEN, EXEC_VISIBLE, SELL
 
 OUT = "symbol string, trade_date string, seq bigint, ts_ns bigint, type int, best_bid bigint, bid_qty bigint, best_ask bigint, ask_qty bigint, ofi_e bigint, trade_qty bigint, trade_side bigint"
 
 
+def _ordered(frames: Iterator[pd.DataFrame], last: int, clock: int) -> Iterator[tuple[int, Message]]:
+    """The messages of one session in one micro-batch, whose size the source's rate limit bounds, in the order of seq and above ``last``; NULLs count as 0, a NULL time as the one before."""
+    whole = lambda x: 0 if x is None or x != x else int(x)
+    rows = (r for f in frames for r in f[["seq", "ts_ns", "type", "order_id", "size", "price", "direction"]].itertuples(index=False, name=None))
+    for seq, ts, kind, order_id, size, price, direction in sorted(rows, key=lambda r: r[0]):
+        if seq <= last:
+            continue
+        last, clock = int(seq), clock if ts is None or ts != ts else int(ts)
+        yield last, Message(clock, whole(kind), whole(order_id), whole(size), whole(price), BUY if whole(direction) >= 0 else SELL)
+
+
 def live_features(messages: DataFrame, purge: bool = False) -> DataFrame:
     """A stream of features from a stream of messages (symbol, trade_date, seq, ts_ns, type, order_id, size, price, direction).
 
@@ -28,19 +40,13 @@ def live_features(messages: DataFrame, purge: bool = False) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book, last, clock = pickle.loads(state.get[0]) if state.exists else (OrderBook(), -1, 0)
-        # One micro-batch of one session, which the source's rate limit bounds.
-        rows = sorted((r for f in frames for r in f[["seq", "ts_ns", "type", "order_id", "size", "price", "direction"]].itertuples(index=False, name=None)), key=lambda r: r[0])
         out, stats = [], Counter()
-        for seq, ts, kind, order_id, size, price, direction in rows:
-            if seq <= last:
-                continue
-            whole = lambda x: 0 if x is None or x != x else int(x)
-            last, clock = int(seq), clock if ts is None or ts != ts else int(ts)
-            m = Message(clock, whole(kind), whole(order_id), whole(size), whole(price), BUY if whole(direction) >= 0 else SELL)
+        for seq, m in _ordered(frames, last, clock):
+            last, clock = seq, m.ts
             before = book.touch()
             apply_message(book, m, stats, purge)
             traded = m.type in (EXEC_VISIBLE, EXEC_HIDDEN)
-            out.append((*key, last, clock, m.type, *book.touch(), ofi_term(before, book.touch()), m.size if traded else 0, m.side if traded else 0))
+            out.append((*key, seq, m.ts, m.type, *book.touch(), ofi_term(before, book.touch()), m.size if traded else 0, m.side if traded else 0))
         state.update((pickle.dumps((book, last, clock)),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
@@ -48,6 +54,30 @@ def live_features(messages: DataFrame, purge: bool = False) -> DataFrame:
     return messages.groupBy(*SESSION).applyInPandasWithState(step, OUT, "book binary", "append", GroupStateTimeout.NoTimeout)
 
 
+FILLS = "symbol string, trade_date string, ts bigint, order_id bigint, side int, price bigint, qty bigint, passive boolean, fee double"
+
+
+def live_fills(messages: DataFrame, spec: RunSpec, make: Callable[[RunSpec], Strategy] = OfiStrategy) -> DataFrame:
+    """Fills of a strategy run live on a stream of messages (paper trading): the state of a session is its whole ``Backtest``.
+
+    Order and late messages as in ``live_features``. Positions are flattened by the spec's end time, as history's messages pass it; a
+    session whose messages stop earlier stays open.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run, last, clock = pickle.loads(state.get[0]) if state.exists else (Backtest(spec, make(spec)), -1, 0)
+        sent, out = len(run.fills), []
+        for seq, m in _ordered(frames, last, clock):
+            run.message(m)
+            last, clock = seq, m.ts
+        out = [(*key, f.ts, f.order_id, f.side, f.price, f.qty, f.passive, f.fee) for f in run.fills[sent:]]
+        state.update((pickle.dumps((run, last, clock)),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FILLS.split(", ")])
+
+    ship(messages.sparkSession)
+    return messages.groupBy(*SESSION).applyInPandasWithState(step, FILLS, "run binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def live_buckets(features: DataFrame, bucket: str = "10 seconds", delay: str = "1 minute") -> DataFrame:
     """Order flow per session and event-time window of a feature stream: ofi, n_events, trade_qty. Rows later than ``delay`` are dropped.
 
