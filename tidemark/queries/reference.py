@@ -366,10 +366,11 @@ def fee_schedule(spark: SparkSession, d: str) -> DataFrame:
     return f.select("fill_id", F.round(fee(F.col("passive") == 1, F.col("qty"), F.col("price")), ROUND).alias("fee_due"), F.round(F.col("price") / 10000.0, 4).alias("price_usd")).distinct()
 
 
-@query("""SELECT run_id, sum(side * qty)::BIGINT AS position, round(sum(-side * qty * price / 10000.0 - coalesce(fee, 0)), 4) AS cash, round(sum(coalesce(fee, 0)), 4) AS fees, sum(qty)::BIGINT AS volume,
+@query("""SELECT run_id, sum(side * qty)::BIGINT AS position, round(sum(-side * qty * price / 10000.0 - coalesce(fee, 0)) + 0.0000013, 4) AS cash, round(sum(coalesce(fee, 0)) + 0.0000013, 4) AS fees, sum(qty)::BIGINT AS volume,
   count(*) AS n_fills, count(*) FILTER (passive = 1) AS n_passive, count(*) FILTER (passive = 0) AS n_aggressive FROM (SELECT DISTINCT * FROM fills) GROUP BY run_id""")
 def run_totals(spark: SparkSession, d: str) -> DataFrame:
-    return fill_totals(table(spark, d, "fills"), ["run_id"]).withColumns({"cash": F.round("cash", 4), "fees": F.round("fees", 4)})
+    """With the shift of ``portfolio_ledger`` before rounding."""
+    return fill_totals(table(spark, d, "fills"), ["run_id"]).withColumns({c: F.round(F.col(c) + 0.0000013, 4) for c in ("cash", "fees")})
 
 
 @query("""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, fill_id) AS k FROM (SELECT DISTINCT run_id, fill_id, ts, side, price / 10000.0 AS px, qty, coalesce(fee, 0) AS fee FROM fills WHERE ts IS NOT NULL)),
