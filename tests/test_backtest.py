@@ -161,6 +161,35 @@ def test_same_messages_same_fills_in_spark(spark):
     assert sorted((r.symbol, r.spec_id, r["count"]) for r in out) == [(s, k, 101) for s in "AB" for k in (0, 1)]
 
 
+def test_the_first_message_is_left_out_only_where_a_seed_covers_it(spark):
+    from tidemark.operators.backtest import backtest
+    from tidemark.schema import depth_columns
+
+    message = "symbol string, trade_date string, seq bigint, ts_ns bigint, type int, order_id bigint, size int, price bigint, direction int"
+    rows = [(1 * S, 1, 1, 100, 10_000, 1), (2 * S, 1, 2, 100, 10_400, -1), (3 * S, 1, 3, 10, 10_100, 1)]
+    feed = spark.createDataFrame([(s, "d", i + 5, *m) for s in ("at", "before", "after", "none", "empty") for i, m in enumerate(rows)], message)
+    deep = lambda s, seq, bid, ask: (s, "d", seq, *((ask, 70) if ask else (9_999_999_999, 0)), *((bid, 70) if bid else (None, 0)))
+    columns = "symbol string, trade_date string, seq bigint, " + ", ".join(f"{c} bigint" for c in depth_columns(1))
+    depth = spark.createDataFrame([deep("at", 5, 9_000, 9_800), deep("at", 6, 9_000, 9_600), deep("before", 2, 9_000, 9_400), deep("before", 4, 9_800, 11_000), deep("after", 7, 10_000, 10_800), deep("empty", 5, None, None)], columns)
+    spec = RunSpec(start_ts=0, end_ts=3 * S, flatten_before_close_ns=0, zscore_window=10**6)
+    seen = lambda *a: {s: [r.mid for r in sorted(out, key=lambda r: r.ts) if r.symbol == s] for out in [backtest(feed, [spec], *a, output="equity").collect()] for s in ("at", "before", "after", "none", "empty")}
+    assert seen(depth, 1) == {
+        "at": [0.94, 0.94, 0.93, 1.025], "before": [1.04, 1.05, 1.02, 1.025], "after": [0.0, 1.0, 1.02, 1.04], "none": [0.0, 1.0, 1.02, 1.025], "empty": [0.0, 0.0, 1.04, 1.025],
+    }
+    assert all(mids == [0.0, 1.0, 1.02, 1.025] for mids in seen().values())
+
+
+@pytest.mark.parametrize("name", ["backtest_ofi", "backtest_fills", "latency_sweep", "cancel_assumption_sweep", "entry_threshold_sweep"])
+def test_registered_backtests_have_a_depth(spark, small, monkeypatch, name):
+    from tidemark.operators import backtest as bt
+    from tidemark.queries.reference import QUERIES
+
+    asked, whole = [], bt.backtest
+    monkeypatch.setattr(bt, "backtest", lambda messages, specs, depth=None, *a, **kw: asked.append(depth) or whole(messages, specs, depth, *a, **kw))
+    QUERIES[name](spark, small)
+    assert len(asked) == 1 and "ask_px_3" in asked[0].columns
+
+
 def test_portfolio_flips():
     p = Portfolio()
     for side, price, qty in ((1, 100_000, 10), (1, 200_000, 10), (-1, 300_000, 30)):

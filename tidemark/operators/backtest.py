@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.signals import SESSION
 from ..schema import BUY, DELETE, EXEC_HIDDEN, EXEC_VISIBLE, NEW_LIMIT, NO_ASK, NO_BID, NS_PER_SEC, PARTIAL_CANCEL, PRICE_SCALE, SELL
 from .book import Message, OrderBook, apply_message, ofi_term, resync
-from .replay import ordered_scan, parse_seed, parse_snapshot, with_snapshots
+from .replay import first_books, ordered_scan, parse_snapshot, with_snapshots
 
 PESSIMISTIC, PRO_RATA, OPTIMISTIC = "Pessimistic", "ProRata", "Optimistic"
 
@@ -502,10 +502,11 @@ class _Run:
         self.sent = [0, 0]
 
     def row(self, v: tuple) -> list[tuple]:
-        _, _, spec_id, _, ts, kind, order_id, size, price, direction, seed, snap = v
+        _, _, spec_id, _, ts, kind, order_id, size, price, direction, snap, first_book, covered = v
         if self.bt is None:
-            spec = self.specs[spec_id]
-            self.bt = Backtest(spec, self.make(spec), parse_seed(seed))
+            spec = self.specs[spec_id] if covered else replace(self.specs[spec_id], start_index=0)
+            seed = [] if first_book is None else [(side, *level) for side, levels in parse_snapshot(first_book).items() for level in levels]
+            self.bt = Backtest(spec, self.make(spec), seed)
         ts = self.now = max(self.now, ts) if ts is not None else self.now
         levels = None if snap is None else parse_snapshot(snap)
         self.bt.message(Message(ts, kind, order_id, size, price, BUY if direction >= 0 else SELL), levels)
@@ -535,13 +536,18 @@ def backtest(
     """Run every spec over every session of a ``feed``: symbol, trade_date, spec_id and ``output``: metrics (a row each), fills or equity.
 
     A spec is data, so a sweep multiplies the messages by the specs and scans (session, spec) groups in parallel. depth: gives the seed
-    (first row) and, with ``snapshot``, the levels that the book is put right by at equal seq. Clocks never run back: a message earlier than the one before, or without a
+    (``first_books``) and, with ``snapshot``, the levels that the book is put right by at equal seq. ``start_index`` leaves out the messages that the seed
+    covers: in a session whose first message no depth row covers, none is left out. Clocks never run back: a message earlier than the one before, or without a
     time, happens at that one's time.
     """
     if output not in OUTPUTS:
         raise ValueError(f"output is none of {', '.join(OUTPUTS)}: {output}")
     specs = list(specs)
-    rows = with_snapshots(messages, depth, levels, depth is not None, depth is not None and snapshot)
+    rows = with_snapshots(messages, depth, levels, False, snapshot).drop("seed")
+    if depth is None:
+        rows = rows.withColumns({"first_book": F.lit(None).cast("string"), "covered": F.lit(False)})
+    else:
+        rows = rows.join(first_books(messages, depth, levels), [*SESSION, "seq"], "left").select(*rows.columns, "first_book", "covered")
     each = rows.withColumn("spec_id", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1)))).select(*SESSION, "spec_id", *[c for c in rows.columns if c not in SESSION])
     return ordered_scan(each, [*SESSION, "spec_id"], "seq", lambda: _Run(specs, make, output), OUTPUTS[output])
 

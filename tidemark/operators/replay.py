@@ -150,6 +150,28 @@ class Replay:
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in (*APPLY_COUNTERS, *BOOK_COUNTERS, *[f"resync_{c}" for c in RESYNC_COUNTERS])])
 
 
+def _snapshot_text(levels: int) -> Column:
+    """The real levels of the depth row in the struct ``d``, as ``parse_snapshot`` reads them."""
+
+    def side(name: str) -> Column:
+        real = real_levels(F.array(*[F.struct(F.col(f"d.{name}_px_{j}").alias("px"), F.col(f"d.{name}_sz_{j}").alias("sz")) for j in range(1, levels + 1)]))
+        return F.array_join(F.transform(real, lambda x: F.concat_ws(":", x["px"], x["sz"])), ";")
+
+    return F.concat(side("ask"), F.lit("|"), side("bid"))
+
+
+def first_books(messages: DataFrame, depth: DataFrame, levels: int) -> DataFrame:
+    """The recorded book that each session begins with: session, seq (of its first message), first_book (text as of ``with_snapshots``), covered.
+
+    It is the last depth row up to the first message, never a later one, which a run couldn't know yet. covered: the row is of the first message itself, so it
+    holds what that message did. A session without such a row has none.
+    """
+    firsts = messages.groupBy(*SESSION).agg(F.min("seq").alias("first"))
+    last = F.max(F.struct(F.col("seq").alias("at"), *depth_columns(levels))).alias("d")
+    at = depth.join(firsts, list(SESSION)).where("seq <= first").groupBy(*SESSION, "first").agg(last)
+    return at.select(*SESSION, F.col("first").alias("seq"), _snapshot_text(levels).alias("first_book"), (F.col("d.at") == F.col("first")).alias("covered"))
+
+
 def with_snapshots(messages: DataFrame, depth: DataFrame | None, levels: int, seed: bool, snapshot: bool) -> DataFrame:
     """The feed with ``seed`` (on each session's first message) and ``snap`` (the depth row of the same seq, its real levels).
 
@@ -162,13 +184,7 @@ def with_snapshots(messages: DataFrame, depth: DataFrame | None, levels: int, se
         firsts = messages.groupBy(*SESSION).agg(F.min("seq").alias("seq")).join(s, list(SESSION))
         rows = rows.drop("seed").join(firsts, [*SESSION, "seq"], "left")
     if depth is not None and snapshot:
-        cols = depth_columns(levels)
-
-        def side(name: str) -> Column:
-            real = real_levels(F.array(*[F.struct(F.col(f"d.{name}_px_{j}").alias("px"), F.col(f"d.{name}_sz_{j}").alias("sz")) for j in range(1, levels + 1)]))
-            return F.array_join(F.transform(real, lambda x: F.concat_ws(":", x["px"], x["sz"])), ";")
-
-        one = depth.where("seq IS NOT NULL").groupBy(*SESSION, "seq").agg(F.max(F.struct(*cols)).alias("d")).select(*SESSION, "seq", F.concat(side("ask"), F.lit("|"), side("bid")).alias("snap"))
+        one = depth.where("seq IS NOT NULL").groupBy(*SESSION, "seq").agg(F.max(F.struct(*depth_columns(levels))).alias("d")).select(*SESSION, "seq", _snapshot_text(levels).alias("snap"))
         rows = rows.drop("snap").join(one, [*SESSION, "seq"], "left")
     return rows.select(*SESSION, "seq", "ts_ns", F.col("type").cast("int").alias("type"), "order_id", "size", "price", "direction", "seed", "snap")
 

@@ -408,24 +408,24 @@ _BASE = bt.RunSpec(window_events=20, zscore_window=100, entry_z=1.5, max_hold_s=
 
 @query()
 def backtest_ofi(spark: SparkSession, d: str) -> DataFrame:
-    return bt.backtest(_feed(spark, d), [_BASE, bt.replace(_BASE, passive_entry=False)])
+    return bt.backtest(_feed(spark, d), [_BASE, bt.replace(_BASE, passive_entry=False)], _depth(spark, d))
 
 
 @query()
 def backtest_fills(spark: SparkSession, d: str) -> DataFrame:
-    return bt.backtest(_feed(spark, d), [_BASE], output="fills")
+    return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="fills")
 
 
 @query()
 def latency_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return bt.latency_sweep(_feed(spark, d), base=_BASE)
+    return bt.latency_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d))
 
 
 @query()
 def cancel_assumption_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return bt.cancel_assumption_sweep(_feed(spark, d), base=_BASE)
+    return bt.cancel_assumption_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d))
 
 
 @query()
 def entry_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return bt.entry_threshold_sweep(_feed(spark, d), base=_BASE)
+    return bt.entry_threshold_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d))
