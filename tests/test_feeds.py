@@ -51,6 +51,26 @@ def test_conversion(spark, folder):
     assert spark.read.option("header", True).csv(str(folder / "m.csv")).count() == 6
 
 
+def test_conversion_of_a_folder_that_grows(spark, folder):
+    raw, out = folder / "raw", str(folder / "grown")
+    stored = lambda what: sorted((r.symbol, r.trade_date, r["count"]) for r in what(spark, out, 2).groupBy("symbol", "trade_date").count().collect())
+    sizes = lambda: {(r.symbol, r.trade_date): r.n for r in feeds.load_messages(spark, out, 2).groupBy("symbol", "trade_date").agg(F.sum("size").alias("n")).collect()}
+    feeds.convert(feeds.find_days(spark, str(raw)), out, 2)
+    (raw / "ABC_2031-01-07_34200000_57600000_message_2.csv").write_text("34200.5,1,7,11,1000,1\n")
+    (raw / "ABC_2031-01-07_34200000_57600000_orderbook_2.csv").write_text("9999999999,0,1000,11,9999999999,0,-9999999999,0\n")
+    (raw / "ABC_2031-01-08_34200000_57600000_message_1.csv").write_text("34200.5,1,7,13,1000,1\n")
+    (raw / "ABC_2031-01-08_34200000_57600000_orderbook_1.csv").write_text("9999999999,0,1000,13\n")
+    (raw / "X.Y_2031-01-06_34200000_57600000_message_2.csv").write_text("34200.5,1,7,5,1000,1\n34200.5,1,8,50,1100,-1\n34201,4,7,30,1000,1\n")
+    days = [("ABC", "2031-01-06", 3), ("ABC", "2031-01-07", 1), ("X.Y", "2031-01-06", 3)]
+    for _ in range(2):
+        feeds.convert(feeds.find_days(spark, str(raw)), out, 2)  # the new day comes, once; what is stored stays
+        assert stored(feeds.load_messages) == stored(feeds.load_depth) == days
+        assert sizes() == {("ABC", "2031-01-06"): 180, ("ABC", "2031-01-07"): 11, ("X.Y", "2031-01-06"): 180}
+    feeds.convert(feeds.find_day(spark, str(raw), "X.Y", "2031-01-06", 2), out, 2, force=True)
+    assert stored(feeds.load_messages) == stored(feeds.load_depth) == days
+    assert sizes() == {("ABC", "2031-01-06"): 180, ("ABC", "2031-01-07"): 11, ("X.Y", "2031-01-06"): 85}
+
+
 def test_live_equals_batch(spark, tmp_path):
     rows = [(s, "2031-01-06", i, 1_000_000_000 * i, 1 if i % 3 else 4, i // 3, 10 + i, 1000 + 100 * (i % 2), 1 if i % 2 == 0 else -1) for s in ("A", "B") for i in range(30)]
     schema = "symbol string, trade_date string, seq bigint, ts_ns bigint, type int, order_id bigint, size bigint, price bigint, direction int"

@@ -91,11 +91,23 @@ def read_depth(days: DataFrame, levels: int) -> DataFrame:
     return raw.select("symbol", "trade_date", "seq", *[F.trim(F.col(f"c{i}")).cast(f.dataType).alias(f.name) for i, f in enumerate(depth_schema(levels).fields)])
 
 
+def _stored_days(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, trade_date of the days that a converted table already has."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = T.StructType([*MESSAGE_SCHEMA.fields[:1], T.StructField("symbol", T.StringType()), T.StructField("trade_date", T.StringType())])
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema).select("symbol", "trade_date")
+    return spark.read.schema(schema).parquet(path).select("symbol", "trade_date").distinct()
+
+
 def convert(days: DataFrame, out: str, levels: int, force: bool = False) -> None:
-    """Write messages and depth as Parquet, partitioned by symbol and date; what exists is kept unless ``force``."""
-    mode = "overwrite" if force else "ignore"
-    for name, df in (("messages", read_messages(days)), ("depth", read_depth(days, levels))):
-        df.write.mode(mode).option("compression", "snappy").partitionBy("symbol", "trade_date").parquet(f"{out}/{name}_{levels}")
+    """Write messages and depth as Parquet, partitioned by symbol and date. Day by day and table by table, what exists is kept, or replaced with ``force``; other days stay."""
+    spark, own = days.sparkSession, days.where(F.col("levels") == levels)
+    for name, read in (("messages", read_messages), ("depth", lambda d: read_depth(d, levels))):
+        path = f"{out}/{name}_{levels}"
+        new = own if force else own.join(_stored_days(spark, path), ["symbol", "trade_date"], "left_anti")
+        how = read(new).write.option("compression", "snappy").partitionBy("symbol", "trade_date")
+        (how.mode("overwrite").option("partitionOverwriteMode", "dynamic") if force else how.mode("append")).parquet(path)
 
 
 def load_messages(spark: SparkSession, out: str, levels: int) -> DataFrame:
