@@ -190,6 +190,20 @@ def test_registered_backtests_have_a_depth(spark, small, monkeypatch, name):
     assert len(asked) == 1 and "ask_px_3" in asked[0].columns
 
 
+def test_registered_backtests_sample_every_second(spark):
+    from tidemark.queries.reference import _BASE, QUERIES
+
+    assert _BASE.sample_ns == S and "backtest_equity" in QUERIES
+    rows = [(34_200 * S, 1, 1, 100, 10_000, 1), (34_201 * S, 1, 2, 100, 11_000, -1), (34_210 * S, 1, 3, 100, 10_400, 1), (34_220 * S, 3, 3, 100, 10_400, 1), (57_599 * S, 7, 0, 0, 0, 1)]
+    bt = Backtest(RunSpec(start_index=0, sample_ns=_BASE.sample_ns, latency_us=0), At(1, lambda c: c.submit_limit(BUY, 11_000, 100, ioc=True)))
+    for m in rows:
+        bt.message(Message(*m))
+    bt.finish()
+    assert len(bt.samples) == 23_401 and [s[0] for s in bt.samples] == [t * S for t in range(34_200, 57_601)]
+    assert [round(s[3], 4) for s in bt.samples[8:12] + bt.samples[18:22]] == [1.05, 1.05, 1.07, 1.07, 1.07, 1.07, 1.05, 1.05]  # a rise and fall inside a minute
+    assert bt.samples[12][1] - bt.samples[22][1] == pytest.approx(100 * 0.02)
+
+
 def test_portfolio_flips():
     p = Portfolio()
     for side, price, qty in ((1, 100_000, 10), (1, 200_000, 10), (-1, 300_000, 30)):

@@ -353,10 +353,14 @@ class Backtest:
 
     def _sample(self, until: int) -> None:
         """Equity at every sample time before ``until``: a sample at T has all that happened up to T."""
-        while self.next_sample < until and self.next_sample <= self.spec.end_ts:
-            self.last_mid = mid = self._mid()
-            self.samples.append((self.next_sample, self.pf.equity(mid), self.pf.position, mid))
-            self.next_sample += self.spec.sample_ns
+        until = min(until, self.spec.end_ts + 1)
+        if self.next_sample >= until:
+            return
+        self.last_mid = mid = self._mid()  # nothing happens between the samples of one call
+        equity, position = self.pf.equity(mid), self.pf.position
+        times = range(self.next_sample, until, self.spec.sample_ns)
+        self.samples += [(t, equity, position, mid) for t in times]
+        self.next_sample = times[-1] + self.spec.sample_ns
 
     def _book_fills(self, new: list[Fill]) -> None:
         for f in new:

@@ -403,7 +403,7 @@ def mid_sample_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- backtests
-_BASE = bt.RunSpec(window_events=20, zscore_window=100, entry_z=1.5, max_hold_s=600, order_ttl_s=60, sample_ns=60_000_000_000)
+_BASE = bt.RunSpec(window_events=20, zscore_window=100, entry_z=1.5, max_hold_s=600, order_ttl_s=60)
 
 
 @query()
@@ -416,6 +416,11 @@ def backtest_fills(spark: SparkSession, d: str) -> DataFrame:
     return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="fills")
 
 
+@query()
+def backtest_equity(spark: SparkSession, d: str) -> DataFrame:
+    return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="equity")
+
+
 @query()
 def latency_sweep(spark: SparkSession, d: str) -> DataFrame:
     return bt.latency_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d))
