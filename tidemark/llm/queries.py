@@ -9,7 +9,7 @@ from ..plans.scratch import materialize, table
 from .leakage import leaked
 from .nearest import nearest_join
 from .packing import pack
-from .stuffing import calibrated, stuffed_pages, text_measures
+from .stuffing import calibrated, function_words, stuffed_pages, text_measures, word_frequencies
 from .tokens import token_counts
 
 
@@ -57,7 +57,9 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stuffed(spark: SparkSession, d: str) -> DataFrame:
-    measures = materialize(text_measures(table(spark, d, "documents"), "doc_id", "text", "lang"))
+    docs = table(spark, d, "documents")
+    known = function_words(materialize(word_frequencies(docs, "text", "lang")))
+    measures = materialize(text_measures(docs, "doc_id", "text", "lang", known))
     return stuffed_pages(measures, calibrated(measures))
 
 
@@ -69,7 +71,13 @@ def p9_measures(spark: SparkSession, d: str) -> DataFrame:
     return _stuffed(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p7_packed, p7_fill, p8_found, p8_report, p9_found, p9_measures)}
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of words, pairs and lines of every text as it stands, links and mark-up included."""
+    m = text_measures(table(spark, d, "documents"), "doc_id", "text", "lang", markup=False)
+    return m.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("top_word", "top_pair", "same_lines")])
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p7_packed, p7_fill, p8_found, p8_report, p9_found, p9_measures, p9_shares)}
 
 _P3 = """s AS (SELECT run_id, sample_ts, min(sample_id) AS sample_id FROM equity_samples WHERE sample_ts IS NOT NULL AND sample_mid IS NOT NULL AND run_id IS NOT NULL GROUP BY ALL),
 f AS (SELECT DISTINCT run_id, ts, fill_id FROM fills),
@@ -79,8 +87,17 @@ _P8 = """it AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS
 ir AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 15], ' ') AS r, FROM (SELECT item_id, w, unnest(range(1, len(w) - 14)) AS p FROM it)),
 dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 dr AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 15], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 14)) AS p FROM dt))"""
+_P9_WORD = "(?:[a-z0-9_]|[^\\x00-\\x7F])"
+_P9 = f"""t AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(ws[2:] || [NULL]) AS v FROM (SELECT doc_id, regexp_extract_all(s, '{_P9_WORD}+') AS ws FROM t) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+a AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, count(*) AS c FROM w GROUP BY doc_id, w) GROUP BY doc_id),
+b AS (SELECT doc_id, max(c) AS top2 FROM (SELECT doc_id, count(*) AS c FROM w WHERE v IS NOT NULL GROUP BY doc_id, w, v) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS k, count(DISTINCT r) AS d FROM (SELECT doc_id, regexp_extract(unnest(string_split(s, chr(10))), '(?s)(?:{_P9_WORD}|\\x01).*') AS r FROM t) WHERE r <> '' GROUP BY doc_id)"""
 
 ORACLES = {
+    "p9_shares": f"""WITH {_P9} SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(round((top - 1) / n, 6), 0) AS top_word, coalesce(round(2 * (top2 - 1) / n, 6), 0) AS top_pair,
+  coalesce(round((k - d) / k, 6), 0) AS same_lines FROM t LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "p3_found": f"WITH {_P3} SELECT fill_id, sample_id FROM c WHERE k = 1 AND sample_id IS NOT NULL",
     "p3_pairs": f"WITH {_P3} SELECT run_id, coalesce(ts, -1) AS ts, fill_id, coalesce(sample_id, -1) AS sample_id, coalesce(CASE WHEN sample_id IS NOT NULL THEN distance END, -1) AS distance FROM c WHERE k = 1",
     "p8_found": f"WITH {_P8} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)",
