@@ -100,5 +100,6 @@ ORACLES = {
   coalesce(round((k - d) / k, 6), 0) AS same_lines FROM t LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "p3_found": f"WITH {_P3} SELECT fill_id, sample_id FROM c WHERE k = 1 AND sample_id IS NOT NULL",
     "p3_pairs": f"WITH {_P3} SELECT run_id, coalesce(ts, -1) AS ts, fill_id, coalesce(sample_id, -1) AS sample_id, coalesce(CASE WHEN sample_id IS NOT NULL THEN distance END, -1) AS distance FROM c WHERE k = 1",
+    "p8_report": f"WITH {_P8} SELECT doc_id, item_id, count(*) AS n_runs FROM ir JOIN dr USING (r) GROUP BY doc_id, item_id",
     "p8_found": f"WITH {_P8} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)",
 }

@@ -316,10 +316,9 @@ def calibrated(measures: DataFrame, missing: float = 0.25, tail: float = 0.95) -
     some = measures.where("n_words > 0")
 
     def blended(df: DataFrame, wanted: dict[str, Column]) -> DataFrame:
-        own = df.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in wanted.items()])
-        every = df.agg(*[v.alias(f"all_{k}") for k, v in wanted.items()])
-        mean = lambda k: ((F.col("n") * F.col(k) + PRIOR * F.col(f"all_{k}")) / (F.col("n") + PRIOR)).alias(k)
-        return own.join(F.broadcast(every)).select("language", *[mean(k) for k in wanted])  # every: one row
+        every = df.agg(*[v.alias(k) for k, v in wanted.items()]).first()  # the whole corpus's, one row
+        mean = lambda k: ((F.col("n") * F.col(k) + PRIOR * F.lit(every[k])) / (F.col("n") + PRIOR)).alias(k)
+        return df.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in wanted.items()]).select("language", *[mean(k) for k in wanted])
 
     usual = blended(some, {"max_function": F.percentile_approx("function", 0.5) * missing})
     ordinary = some.join(F.broadcast(usual), "language").where("function > max_function OR max_function = 0")
