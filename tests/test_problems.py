@@ -1,15 +1,21 @@
 """The table operators against brute force, and their defined cases: NULLs, repeats, ties, empty tables, hot keys, clashing names."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import paged
 from tidemark.operators.cells import diff_copies, snapshot_changes
 from tidemark.operators.changefeed import apply_feed
 from tidemark.operators.grid import regular_grid
 from tidemark.operators.lifecycle import CLOSE, OPEN, REDUCE, operations
 from tidemark.operators.orphans import ForeignKey, orphan_cascade, stale_references
+from tidemark.operators.paged import paged_fold
+from tidemark.operators.patches import Patches
+from tidemark.plans.scratch import materialize, table
+from tidemark.queries.problems import ORDER, p2_found
 
 MESSAGES = "symbol string, trade_date string, seq bigint, type tinyint, order_id bigint, size int, recv_ts timestamp"
 OPS = "k bigint, seq bigint, op tinyint, qty bigint"
@@ -43,14 +49,37 @@ def test_feed_against_a_walk(spark, keys, chunk, fan_in):
     assert got == walk(ops)[0]
 
 
-@pytest.mark.parametrize("keys,page", [(200, 16384), (3, 50), (1, 100)])
-def test_orphans_against_a_walk(spark, keys, page):
+@pytest.mark.parametrize("keys,page,stretch", [(200, 16384, 1024), (3, 50, 1024), (1, 100, 1024), (2, 7, 3), (40, 5, 2)])
+def test_orphans_against_a_walk(spark, monkeypatch, keys, page, stretch):
+    monkeypatch.setattr(paged, "SUPER", stretch)
     ops = random_ops(keys + 1, 1500, keys)
     df = spark.createDataFrame(ops, OPS).repartition(5)
-    got = sorted((r.k, r.seq, r.kind) for r in stale_references(df, ["k"], "seq", 1500, page=page).collect())
+    got = sorted((r.k, r.seq, r.kind) for r in stale_references(df, ["k"], "seq", page=page).collect())
     assert got == sorted(walk(ops)[1])
 
 
+def test_a_chain_settles_in_few_rounds(spark, monkeypatch):
+    """One order that lives through all its pages: the rounds are the logarithm of the pages, and each joins only what isn't settled."""
+    n, rounds = 4096, []
+    monkeypatch.setattr(paged, "materialize", lambda df: rounds.append(1) or materialize(df))
+    ops = [(1, 0, OPEN, 3 * n), *[(1, i, REDUCE if i % 3 else OPEN, 1) for i in range(1, n)], (1, n, CLOSE, 0), (1, n + 1, REDUCE, 1)]
+    got = stale_references(spark.createDataFrame(ops, OPS), ["k"], "seq", page=16).collect()
+    assert [(r.seq, r.kind) for r in got] == [(n + 1, "direct")] and len(rounds) <= 2 + 8
+
+
+def test_the_cascade_decides_on_the_given_tables(spark):
+    d = Path("/root/testdata/sf0.01")
+    if not d.exists():
+        pytest.skip("no test tables here")
+    out = p2_found(spark, str(d))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "Inner" in plan
+    ops = operations(table(spark, str(d), "messages"))
+    pages = paged_fold(ops, ORDER, "seq", Patches(), [], lambda items, s: F.struct(F.size(items).alias("n"), s.alias("opening")))
+    deep = pages.where("parent IS NOT NULL")
+    assert deep.where("r.opening.size > 0").count() > 30  # pages that are read from what their parent left
+
+
 def test_feed_on_a_base(spark):
     ops = [(1, 0, REDUCE, 3), (2, 1, CLOSE, 0), (3, 2, OPEN, 7), (4, 3, OPEN, 9), (5, 4, REDUCE, 1)]
     base = {1: 10, 2: 5, 4: 2, 6: 8}
@@ -63,7 +92,7 @@ def test_feed_on_a_base(spark):
 
 def test_feed_and_orphans_of_nothing(spark):
     empty = spark.createDataFrame([], OPS)
-    assert apply_feed(empty, ["k"], "seq", 0, 0).count() == 0 and stale_references(empty, ["k"], "seq", 0).count() == 0
+    assert apply_feed(empty, ["k"], "seq", 0, 0).count() == 0 and stale_references(empty, ["k"], "seq").count() == 0
     base = spark.createDataFrame([(1, 5)], "k bigint, size_left bigint")
     assert apply_feed(empty, ["k"], "seq", 0, 5, base).collect()[0].size_left == 5
 
@@ -71,7 +100,7 @@ def test_feed_and_orphans_of_nothing(spark):
 def test_null_keys_are_values(spark):
     df = spark.createDataFrame([(None, 0, OPEN, 5), (None, 1, REDUCE, 2), (None, 2, CLOSE, 0), (None, 3, REDUCE, 1), (None, 4, REDUCE, 1), (None, 5, OPEN, 4)], OPS)
     for page in (100, 2):
-        assert [r.kind for r in stale_references(df, ["k"], "seq", 5, page=page).orderBy("seq").collect()] == ["direct", "inherited"]
+        assert [r.kind for r in stale_references(df, ["k"], "seq", page=page).orderBy("seq").collect()] == ["direct", "inherited"]
     assert [(r.k, r.size_left) for r in apply_feed(df, ["k"], "seq", 5, 5, chunk=2, fan_in=2).collect()] == [(None, 4)]
 
 
@@ -100,6 +129,12 @@ def test_cascade_over_tables(spark):
     }
 
 
+def test_a_cascade_of_any_depth(spark):
+    node = spark.createDataFrame([(i, i - 1) for i in range(12)], "id int, up int").where("id > 0 OR up = -1")
+    got = orphan_cascade({"n": node.coalesce(1)}, {"n": ["id"]}, [ForeignKey("n", ("up",), "n", ("id",))])["n"]
+    assert sorted((r.id, r.depth) for r in got.collect()) == [(i, i) for i in range(12)]
+
+
 def test_cascade_with_a_cycle_and_empty_tables(spark):
     node = spark.createDataFrame([(1, 2), (2, 1), (3, 99), (4, 3), (5, 4)], "id int, up int")
     got = orphan_cascade({"n": node}, {"n": ["id"]}, [ForeignKey("n", ("up",), "n", ("id",))])["n"]

@@ -1,15 +1,7 @@
 """Applying a stream of inserts, updates and deletes, by composing patches.
 
-The ordered operations on a key are a function from its state before to its state after. On
-states s >= 0 (0: absent) every composition of
-
-    open a    0 -> a, s -> s            (an insert; no effect on a record that exists)
-    reduce c  s -> max(s - c, 0)        (an update; nothing left means gone)
-    close     s -> 0                    (a delete)
-
-has the form *steps, then a shift*: states up to ``t`` map to constants by intervals
-(``steps``: upper end and value, ascending), a state above ``t`` maps to s - t. The form is
-closed under composition and composition is associative. So the feed is cut into ranges of
+The ordered operations on a key are a function from its state before to its state after; ``patches`` has
+such functions as values that compose. So the feed is cut into ranges of
 ``seq``, also inside one hot key; each range folds to one patch, patches of neighbouring ranges
 are composed in a tree, and the last one is applied to the base. No task holds more than
 ``chunk`` operations or ``fan_in`` patches of a key.
@@ -19,62 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lifecycle import CLOSE, OPEN
-
-INF = 2**61  # above any state, and twice it is still a BIGINT: with such a t no state is shifted
-PATCH = "struct<t:bigint,steps:array<struct<upto:bigint,val:bigint>>>"
-
-
-def _big(x: int) -> Column:
-    return F.lit(x).cast("bigint")
-
-
-def _step(upto: Column, val: Column) -> Column:
-    return F.struct(upto.alias("upto"), val.alias("val"))
-
-
-def _patch(t: Column, steps: Column) -> Column:
-    return F.struct(t.alias("t"), steps.alias("steps"))
-
-
-def _identity() -> Column:
-    return _patch(_big(0), F.array(_step(_big(0), _big(0))))
-
-
-def _then_operation(f: Column, x: Column, largest: int) -> Column:
-    """The patch f followed by one operation x (op, qty). No state is above ``largest``: beyond it no steps are kept."""
-    a, t, steps = x["qty"], f["t"], f["steps"]
-    opened = F.transform(steps, lambda s: _step(s["upto"], F.when(s["val"] == 0, a).otherwise(s["val"])))
-    lowered = F.transform(steps, lambda s: _step(s["upto"], F.greatest(s["val"] - a, _big(0))))
-    end = t + a
-    tail = F.element_at(steps, -1)["val"] <= a  # the last step has become 0 too: the new zero step only extends it
-    kept = F.when(tail, F.slice(lowered, F.lit(1), F.size(steps) - 1)).otherwise(lowered)
-    reduced = F.when(t >= _big(largest), _patch(t, lowered)).otherwise(_patch(end, F.concat(kept, F.array(_step(end, _big(0))))))
-    closed = _patch(_big(INF), F.array(_step(_big(INF), _big(0))))
-    return F.when(x["op"] == OPEN, _patch(t, opened)).when(x["op"] == CLOSE, closed).otherwise(reduced)
-
-
-def apply_patch(g: Column, s: Column) -> Column:
-    """The state after patch g, from the state s."""
-    return F.when(s > g["t"], s - g["t"]).otherwise(F.filter(g["steps"], lambda x: x["upto"] >= s)[0]["val"])
-
-
-def compose(f: Column, g: Column, largest: int) -> Column:
-    """The patch f followed by the patch g, on states up to ``largest``."""
-    head = F.transform(f["steps"], lambda s: _step(s["upto"], apply_patch(g, s["val"])))
-    shifted = F.transform(F.filter(g["steps"], lambda s: s["upto"] > 0), lambda s: _step(F.least(s["upto"] + f["t"], _big(INF)), s["val"]))
-    steps = F.when(f["t"] >= _big(largest), head).otherwise(F.concat(head, shifted))
-    return _patch(F.least(f["t"] + g["t"], _big(INF)), steps)
-
+from .patches import Patches
 
-def _thin(patch: Column, largest: int) -> Column:
-    """Merge neighbouring steps of one value and drop those that begin above ``largest``. patch: a lambda's variable, else it is evaluated for every step."""
-    steps = patch["steps"]
-    needed = lambda s, i: ((i == F.size(steps) - 1) | (F.get(steps, i + 1)["val"] != s["val"])) & ((i == 0) | (F.get(steps, i - 1)["upto"] < _big(largest)))
-    return _patch(patch["t"], F.filter(steps, needed))
+PLAIN = Patches()
+PATCH = PLAIN.type
 
 
 def apply_feed(
@@ -94,23 +37,23 @@ def apply_feed(
         .groupBy(*keys, "part")
         .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "op", "qty"))).alias("xs"))
     )
-    step, parts = (lambda f, x: _then_operation(f, x, largest)), max(last, 0) // chunk + 1
+    step, parts = (lambda f, x: PLAIN.then(f, x, largest)), max(last, 0) // chunk + 1
     while parts > 1:
-        patched = F.aggregate("xs", _identity().cast(PATCH), step, lambda f: _thin(f, largest).cast(PATCH))
+        patched = F.aggregate("xs", PLAIN.identity(), step, lambda f: PLAIN.thin(f, largest))
         level = (
             level.select(*keys, F.expr(f"part div {fan_in}").alias("up"), F.struct(F.col("part").alias("at"), patched.alias("patch")).alias("x"))
             .groupBy(*keys, F.col("up").alias("part"))
             .agg(F.sort_array(F.collect_list("x")).alias("xs"))
         )
-        step, parts = (lambda f, x: compose(f, x["patch"], largest).cast(PATCH)), (parts - 1) // fan_in + 1
+        step, parts = (lambda f, x: PLAIN.compose(f, x["patch"], largest)), (parts - 1) // fan_in + 1
     exists = lambda s: s > 0
     if base is None:  # in the aggregate's last step and an explode, so that it is evaluated once
-        done = F.aggregate("xs", _identity().cast(PATCH), step, lambda f: F.filter(F.array(apply_patch(f, _big(0))), exists))
+        done = F.aggregate("xs", PLAIN.identity(), step, lambda f: F.filter(F.array(PLAIN.apply(f, PLAIN.absent())["size"]), exists))
         return level.select(*keys, F.explode(done).alias(state))
-    patched = F.aggregate("xs", _identity().cast(PATCH), step, lambda f: _thin(f, largest).cast(PATCH))
-    both = level.select(*keys, patched.alias("patch"), _big(0).alias("__old")).unionByName(
+    patched = F.aggregate("xs", PLAIN.identity(), step, lambda f: PLAIN.thin(f, largest))
+    both = level.select(*keys, patched.alias("patch"), F.lit(0).cast("bigint").alias("__old")).unionByName(
         base.select(*keys, F.lit(None).cast(PATCH).alias("patch"), F.col(state).cast("bigint").alias("__old"))
     )
     merged = both.groupBy(*keys).agg(F.max("__old").alias("__old"), F.first("patch", ignorenulls=True).alias("patch"))
-    after = F.coalesce(apply_patch(F.col("patch"), F.col("__old")), F.col("__old"))
+    after = F.coalesce(PLAIN.apply(F.col("patch"), F.struct(F.col("__old").alias("size")))["size"], F.col("__old"))
     return merged.select(*keys, F.explode(F.filter(F.array(after), exists)).alias(state))

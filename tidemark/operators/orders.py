@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import SESSION
+from .lifecycle import CLOSE, OPEN, REDUCE
 from .paged import PAGE, paged_fold
+from .patches import Patches
 
-STATE = "struct<rest:bigint,px:bigint,side:int,born:bigint>"
+ORDERS = Patches({"px": "bigint", "side": "int", "born": "bigint"})
 COUNTS = "struct<adds:bigint,dup:bigint,cancelled:bigint,executed:bigint,unknown:bigint>"
-RESULT = f"struct<state:{STATE},counts:{COUNTS},events:array<struct<seq:bigint,side:int,px:bigint,delta:bigint>>>"
+RESULT = f"struct<state:{ORDERS.state},counts:{COUNTS},events:array<struct<seq:bigint,side:int,px:bigint,delta:bigint>>>"
 
 
 def _read(items: Column, state: Column) -> Column:
@@ -25,12 +27,12 @@ def _read(items: Column, state: Column) -> Column:
 
     def step(acc: Column, m: Column) -> Column:
         a, c = acc["state"], acc["counts"]
-        rests, add = a["rest"] > 0, m["type"] == 1
-        taken = F.when(rests & ~add, F.when(m["type"] == 3, a["rest"]).otherwise(F.least(m["size"], a["rest"]))).otherwise(F.lit(0).cast("bigint"))
+        rests, add = a["size"] > 0, m["type"] == 1
+        taken = F.when(rests & ~add, F.when(m["type"] == 3, a["size"]).otherwise(F.least(m["qty"], a["size"]))).otherwise(F.lit(0).cast("bigint"))
         opened = add & ~rests
-        delta = F.when(opened, m["size"]).otherwise(-taken)
-        new = {"px": m["price"], "side": m["side"], "born": m["at"]}
-        after = F.struct((a["rest"] + delta).alias("rest"), *[F.when(opened, v).otherwise(a[k]).alias(k) for k, v in new.items()]).cast(STATE)
+        delta = F.when(opened, m["qty"]).otherwise(-taken)
+        new = {k: m[k] for k in ORDERS.fields}
+        after = F.struct((a["size"] + delta).alias("size"), *[F.when(opened, v).otherwise(a[k]).alias(k) for k, v in new.items()]).cast(ORDERS.state)
         counts = F.struct(
             (c["adds"] + one(opened)).alias("adds"), (c["dup"] + one(add & rests)).alias("dup"), (c["cancelled"] + F.when(m["type"].isin(2, 3), taken).otherwise(0)).alias("cancelled"),
             (c["executed"] + F.when(m["type"] == 4, taken).otherwise(0)).alias("executed"), (c["unknown"] + one(~add & ~rests)).alias("unknown"),
@@ -41,36 +43,38 @@ def _read(items: Column, state: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
-def folded(feed: DataFrame, last: int, page: int = PAGE) -> DataFrame:
+def folded(feed: DataFrame, page: int = PAGE) -> DataFrame:
     """Per order and page of a ``feed`` the result of its messages: ``r`` with state, counts and events.
 
     Rules of a book: an add while the order rests changes nothing, an add without size or price is ignored, a reduction takes
-    at most what is left, a delete takes all. Messages of an order that doesn't rest are counted as unknown. last: a bound on seq.
+    at most what is left, a delete takes all. Messages of an order that doesn't rest are counted as unknown.
     """
     rows = feed.where("type BETWEEN 1 AND 4 AND order_id <> 0 AND NOT (type = 1 AND (size <= 0 OR price <= 0))")
-    item = [F.col("type"), F.greatest(F.col("size").cast("bigint"), F.lit(0)).alias("size"), F.col("price"), F.when(F.col("direction") >= 0, 1).otherwise(-1).alias("side")]
-    nothing = F.struct(F.lit(0).alias("rest"), F.lit(0).alias("px"), F.lit(0).alias("side"), F.lit(0).alias("born")).cast(STATE)
-    return paged_fold(rows, [*SESSION, "order_id"], "seq", last, item, _read, nothing, page)
+    ops = rows.select(
+        *SESSION, "order_id", "seq", "type", F.when(F.col("type") == 1, OPEN).when(F.col("type") == 3, CLOSE).otherwise(REDUCE).alias("op"), F.greatest(F.col("size").cast("bigint"), F.lit(0)).alias("qty"),
+        F.col("price").alias("px"), F.when(F.col("direction") >= 0, 1).otherwise(-1).alias("side"), F.col("seq").alias("born"),
+    )
+    return paged_fold(ops, [*SESSION, "order_id"], "seq", ORDERS, [F.col("type")], _read, page)
 
 
-def _closing(feed: DataFrame, last: int, page: int) -> DataFrame:
+def _closing(feed: DataFrame, page: int) -> DataFrame:
     """The orders that rest at the end: session, order_id, rest, px, side, born."""
-    f = folded(feed, last, page).groupBy(*SESSION, "order_id").agg(F.max_by("r.state", "page").alias("s")).select(*SESSION, "order_id", "s.*")
+    f = folded(feed, page).groupBy(*SESSION, "order_id").agg(F.max_by("r.state", "page").alias("s")).select(*SESSION, "order_id", F.col("s.size").alias("rest"), "s.px", "s.side", "s.born")
     return f.where("rest > 0")
 
 
-def lifecycle(feed: DataFrame, last: int, page: int = PAGE) -> DataFrame:
+def lifecycle(feed: DataFrame, page: int = PAGE) -> DataFrame:
     """Per order: adds, duplicate adds (dup), cancelled and executed quantity, unknown references, remaining quantity."""
     counts = [F.sum(f"r.counts.{c}").alias(c) for c in ("adds", "dup", "cancelled", "executed", "unknown")]
-    return folded(feed, last, page).groupBy(*SESSION, "order_id").agg(*counts, F.max_by("r.state.rest", "page").alias("remaining"))
+    return folded(feed, page).groupBy(*SESSION, "order_id").agg(*counts, F.max_by("r.state.size", "page").alias("remaining"))
 
 
-def level_changes(feed: DataFrame, last: int, page: int = PAGE) -> DataFrame:
+def level_changes(feed: DataFrame, page: int = PAGE) -> DataFrame:
     """Every change of a level: session, seq, side, px, delta and ``qty``, the level's quantity after it.
 
     The running sum goes in two steps: inside ranges of seq, and over one total per range.
     """
-    e = folded(feed, last, page).select(*SESSION, F.explode("r.events").alias("e")).select(*SESSION, "e.*").withColumn("part", F.expr("seq div 65536"))
+    e = folded(feed, page).select(*SESSION, F.explode("r.events").alias("e")).select(*SESSION, "e.*").withColumn("part", F.expr("seq div 65536"))
     key = [*SESSION, "side", "px"]
     inside = Window.partitionBy(*key, "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,14 +82,14 @@ def level_changes(feed: DataFrame, last: int, page: int = PAGE) -> DataFrame:
     return e.withColumn("run", F.sum("delta").over(inside)).join(totals, [*key, "part"]).select(*key, "seq", "delta", (F.col("run") + F.col("off")).alias("qty"))
 
 
-def closing_levels(feed: DataFrame, last: int, page: int = PAGE) -> DataFrame:
+def closing_levels(feed: DataFrame, page: int = PAGE) -> DataFrame:
     """The book at the end of each session: session, side, px, qty, n_orders and ``level``, from 1 for the best."""
-    left = _closing(feed, last, page).groupBy(*SESSION, "side", "px").agg(F.sum("rest").alias("qty"), F.count(F.lit(1)).alias("n_orders"))
+    left = _closing(feed, page).groupBy(*SESSION, "side", "px").agg(F.sum("rest").alias("qty"), F.count(F.lit(1)).alias("n_orders"))
     rank = Window.partitionBy(*SESSION, "side").orderBy(F.desc(F.col("px") * F.col("side")))
     return left.withColumn("level", F.row_number().over(rank))
 
 
-def queue_positions(feed: DataFrame, last: int, page: int = PAGE) -> DataFrame:
+def queue_positions(feed: DataFrame, page: int = PAGE) -> DataFrame:
     """Each order that rests at the end with what stands before it in its level: session, order_id, side, px, remaining, queue_ahead."""
     level = Window.partitionBy(*SESSION, "side", "px").orderBy("born").rowsBetween(Window.unboundedPreceding, -1)
-    return _closing(feed, last, page).select(*SESSION, "order_id", "side", "px", F.col("rest").alias("remaining"), F.coalesce(F.sum("rest").over(level), F.lit(0)).alias("queue_ahead"))
+    return _closing(feed, page).select(*SESSION, "order_id", "side", "px", F.col("rest").alias("remaining"), F.coalesce(F.sum("rest").over(level), F.lit(0)).alias("queue_ahead"))

@@ -43,7 +43,7 @@ def _bounds(spark: SparkSession, d: str) -> tuple[int, int]:
 
 
 def _stale(spark: SparkSession, d: str) -> DataFrame:
-    return stale_references(operations(table(spark, d, "messages")), ORDER, "seq", _bounds(spark, d)[0])
+    return stale_references(operations(table(spark, d, "messages")), ORDER, "seq")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -38,10 +38,6 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
     return rp.feed(table(spark, d, "messages"))
 
 
-def _last(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "messages").agg(F.max("seq")).first()[0] or 0
-
-
 def _features(spark: SparkSession, d: str) -> DataFrame:
     return clean_features(table(spark, d, "features"))
 
@@ -121,31 +117,31 @@ def describe_features(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_LIFE} SELECT symbol, trade_date, order_id, count(*) FILTER (opened) AS adds, count(*) FILTER (dup) AS dup, coalesce(sum(taken) FILTER (type IN (2, 3)), 0)::BIGINT AS cancelled,
   coalesce(sum(taken) FILTER (type = 4), 0)::BIGINT AS executed, count(*) FILTER (unknown) AS unknown, arg_max(rest, k) AS remaining FROM w GROUP BY symbol, trade_date, order_id""")
 def order_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    return orders.lifecycle(_feed(spark, d), _last(spark, d))
+    return orders.lifecycle(_feed(spark, d))
 
 
 @query(f"WITH RECURSIVE {_LIFE} SELECT symbol, trade_date, side, px, seq, delta, qty FROM v")
 def level_running_qty(spark: SparkSession, d: str) -> DataFrame:
-    return orders.level_changes(_feed(spark, d), _last(spark, d))
+    return orders.level_changes(_feed(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_LIFE} SELECT symbol, trade_date, side, px, sum(rest)::BIGINT AS qty, count(*) AS n_orders,
   (row_number() OVER (PARTITION BY symbol, trade_date, side ORDER BY px * side DESC))::INT AS level FROM z GROUP BY symbol, trade_date, side, px""")
 def closing_depth(spark: SparkSession, d: str) -> DataFrame:
-    return orders.closing_levels(_feed(spark, d), _last(spark, d))
+    return orders.closing_levels(_feed(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_LIFE} SELECT symbol, trade_date, order_id, side, px, rest AS remaining,
   coalesce(sum(rest) OVER (PARTITION BY symbol, trade_date, side, px ORDER BY born ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS queue_ahead FROM z""")
 def queue_ahead(spark: SparkSession, d: str) -> DataFrame:
-    return orders.queue_positions(_feed(spark, d), _last(spark, d))
+    return orders.queue_positions(_feed(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_LIFE} SELECT symbol, trade_date, type, count(*) FILTER (unknown) AS n_unknown, count(*) AS n, round(count(*) FILTER (unknown) / count(*), 6) AS rate
 FROM w WHERE type <> 1 GROUP BY symbol, trade_date, type""")
 def unknown_id_rate(spark: SparkSession, d: str) -> DataFrame:
     refs = _feed(spark, d).where("type IN (2, 3, 4) AND order_id <> 0").select(*SESSION, "seq", "type")
-    stale = stale_references(operations(table(spark, d, "messages")), [*SESSION, "order_id"], "seq", _last(spark, d)).select(*SESSION, "seq", F.lit(1).alias("stale"))
+    stale = stale_references(operations(table(spark, d, "messages")), [*SESSION, "order_id"], "seq").select(*SESSION, "seq", F.lit(1).alias("stale"))
     n = F.count("stale")
     return refs.join(stale, [*SESSION, "seq"], "left").groupBy(*SESSION, "type").agg(n.alias("n_unknown"), F.count(F.lit(1)).alias("n"), F.round(n / F.count(F.lit(1)), ROUND).alias("rate"))
 
