@@ -7,10 +7,13 @@ unset and the session runs on one machine, as in tests.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+_paths: set[str] = set()
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder; it read back, with its lineage cut, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    _paths.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``stored`` without the path: the table stays for as long as the shared folder does."""
+    """``stored`` without the path: the table stays until ``temporary`` or the application ends."""
     return stored(df)[0]
 
 
@@ -49,6 +56,30 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _paths.discard(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what was stored inside. Results must have been written by then, since they may read it."""
+    before = set(_paths)
+    try:
+        yield
+    finally:
+        for path in _paths - before:
+            discard(spark, path)
+
+
+@atexit.register
+def _discard_all() -> None:
+    """Delete what is left when the driver ends with its session still running."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        for path in list(_paths):
+            try:
+                discard(spark, path)
+            except Exception:  # the session is gone or going: the tables stay
+                return
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
