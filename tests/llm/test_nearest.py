@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tidemark.llm import nearest
 from tidemark.llm.nearest import nearest_join
 
 L = "run string, ts bigint, fid bigint, distance string"
@@ -34,14 +35,21 @@ def test_against_brute_force(spark, seed, entities, rows_per_task):
     assert {tuple(r) for r in got} == truth(left, right, 60)
 
 
-def test_right_records_far_over_task_edges(spark):
+def test_right_records_far_over_task_edges(spark, monkeypatch):
     """One entity; two right records with hundreds of left ones between them, in many tasks without any right record."""
+    monkeypatch.setattr(nearest, "STRETCH", 4)
     left = [("a", 1000 + i, i, "") for i in range(400)]
     right = [("a", 990, 1, ""), ("a", 1450, 2, "")]
     got = nearest_join(spark.createDataFrame(left, L), spark.createDataFrame(right, R), "run", "ts", "fid", "sts", "sid", 10**6, 10).collect()
     assert {tuple(r) for r in got} == truth(left, right, 10**6)
 
 
+def test_nothing_goes_through_the_driver(spark):
+    df = nearest_join(spark.createDataFrame([("a", 1, 1, "")] * 9, L), spark.createDataFrame([("a", 2, 1, "")], R), "run", "ts", "fid", "sts", "sid", 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RangePartitioning") == plan.count("rangepartitioning") == 0 and [tuple(r) for r in df.collect()] == [("a", 1, 1, 1, 1)]  # placed once, before
+
+
 def test_ties_and_empty_tables(spark):
     left, right = [("a", 10, 1, ""), ("a", 20, 2, "")], [("a", 5, 1, ""), ("a", 15, 9, ""), ("a", 15, 3, "")]
     join = lambda a, b, tol=5: {tuple(r)[2:] for r in nearest_join(spark.createDataFrame(a, L), spark.createDataFrame(b, R), "run", "ts", "fid", "sts", "sid", tol).collect()}
