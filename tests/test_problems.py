@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import paged
+from tidemark.operators import cells, paged
 from tidemark.operators.cells import diff_copies, snapshot_changes
 from tidemark.operators.changefeed import apply_feed
 from tidemark.operators.grid import regular_grid
@@ -214,6 +214,21 @@ def test_diff_of_texts(spark):
     assert sorted((r.k, r.diff) for r in got.collect()) == [(1, "t"), (2, "t")]
 
 
+@pytest.mark.parametrize("block", [64, 2, 1])
+def test_snapshots_in_blocks_against_a_walk(spark, monkeypatch, block):
+    monkeypatch.setattr(cells, "BLOCK", block)
+    rnd = random.Random(block)
+    snaps = {p: {n: {k: rnd.randrange(3) for k in range(12) if rnd.random() < 0.8} for n in sorted(rnd.sample(range(40), 9))} for p in "xy"}
+    rows = [(p, n, k, v) for p, s in snaps.items() for n, r in s.items() for k, v in r.items() for _ in range(rnd.choice((1, 1, 3)))]
+    want = set()
+    for p, s in snaps.items():
+        for a, b in zip(list(s), list(s)[1:]):
+            want |= {(p, b, k, "added") for k in s[b].keys() - s[a].keys()} | {(p, b, k, "removed") for k in s[a].keys() - s[b].keys()}
+            want |= {(p, b, k, "changed") for k in s[a].keys() & s[b].keys() if s[a][k] != s[b][k]}
+    got = snapshot_changes(spark.createDataFrame(rows, "d string, n int, k int, v bigint"), ["d"], "n", ["k"], {"v": F.col("v")}).collect()
+    assert len(got) == len(want) and {(r.d, r.n, r.k, r.change) for r in got} == want
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 100])
 def test_snapshots(spark, broadcast_rows):
     schema = "d string, n int, k string, v bigint, change string, fields int"

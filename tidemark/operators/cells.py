@@ -1,9 +1,9 @@
 """Differences between copies and between snapshots, by signed cells.
 
 Rows are unpivoted to (key, field, value) cells with a sign, + for one side and - for the other, and
-a presence marker per key; what doesn't cancel in its group differs. Exact repeats are merged first, before
-any shuffle of theirs. Rows are then placed by key once, still wide; unpivoting and both groupings
-need no further exchange.
+a presence marker per key; what doesn't cancel in its group differs. Exact repeats are merged first, on the map side of
+the exchange that brings them together, so that a key of very many copies is one row per map task. Rows are then placed by key once, still wide;
+unpivoting and both groupings need no further exchange.
 """
 
 from __future__ import annotations
@@ -16,23 +16,23 @@ from pyspark.sql import functions as F
 from ..plans.scratch import maybe_broadcast
 
 MARK = -1  # field number of the presence marker
+BLOCK = 64  # snapshots of a period whose comparisons are placed together
 
 
-def uncancelled(signed: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+def uncancelled(placed: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Keys whose cells don't cancel: keys, ``side`` (1 only on the plus side, -1 only on the minus side, 0 both), ``fields``.
 
-    signed: keys, ``__sign`` (+1 / -1) and the fields, all of one type or castable to string. A cell (key,
+    placed: keys, ``__sign`` (+1 / -1) and the fields, all of one type or castable to string, already placed by the keys or some of them. A cell (key,
     field, value) cancels if it occurs on both sides, however often; so repeats don't count. NULL equals NULL, in
     keys and values. ``fields``: the sorted names of the differing fields, empty where ``side`` isn't 0.
     """
-    kinds = {t for c, t in signed.select(*fields).dtypes}
+    kinds = {t for c, t in placed.select(*fields).dtypes}
     whole = kinds <= {"tinyint", "smallint", "int", "bigint"}
     cell = lambda i, v: F.struct(F.lit(i).alias("field"), v.alias("value"))
     value = lambda c: F.col(c).cast("bigint" if whole else "string")
     marks = F.array(cell(MARK, F.lit(None).cast("bigint" if whole else "string")), *[cell(i, value(c)) for i, c in enumerate(fields)])
     cells = (
-        signed.select(*keys, "__sign", *fields).distinct().repartition(*[F.col(c) for c in keys])
-        .select(*keys, "__sign", F.explode(marks).alias("__cell"))
+        placed.select(*keys, "__sign", F.explode(marks).alias("__cell"))
         .groupBy(*keys, F.col("__cell.field").alias("__field"), F.col("__cell.value").alias("__value"))
         .agg(F.max(F.when(F.col("__sign") > 0, 1).otherwise(0)).alias("__plus"), F.max(F.when(F.col("__sign") < 0, 1).otherwise(0)).alias("__minus"))
         .withColumn("__net", F.col("__plus") - F.col("__minus"))
@@ -55,7 +55,8 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     Empty copies are fine; columns other than keys and fields aren't compared.
     """
     part = lambda df, sign: df.select(*keys, F.lit(sign).alias("__sign"), *[e.alias(c) for c, e in fields.items()])
-    found = uncancelled(part(left, 1).unionByName(part(right, -1)), keys, list(fields))
+    signed = part(left, 1).unionByName(part(right, -1)).distinct().repartition(*[F.col(c) for c in keys])
+    found = uncancelled(signed, keys, list(fields))
     label = F.when(F.col("side") > 0, F.array(F.lit(only_left))).when(F.col("side") < 0, F.array(F.lit(only_right))).otherwise(F.col("fields"))
     return found.select(*keys, F.explode(label).alias("diff"))
 
@@ -68,29 +69,35 @@ def snapshot_changes(snaps: DataFrame, period: Sequence[str], number: str, keys:
     comparison and - in the next one's. change: added, removed or changed; fields: the differing fields of a changed record.
     Repeated deliveries are one. Rows with a NULL number are in no snapshot. The list of snapshots is broadcast only
     if it has at most ``broadcast_rows`` rows.
+
+    Snapshots are numbered in their period, and a record's rows are placed by blocks of ``BLOCK`` numbers, so that a record of very many snapshots
+    is many tasks' work. A row is sent once, and twice only at the end of a block; the two signs are given to it after that.
     """
-    rows = snaps.where(F.col(number).isNotNull()).select(*period, F.col(number), *keys, *[e.alias(f"__f{i}") for i, e in enumerate(fields.values())]).distinct()
     names = [f"__f{i}" for i in range(len(fields))]
+    rows = snaps.where(F.col(number).isNotNull()).select(*period, F.col(number), *keys, *[e.alias(f) for e, f in zip(fields.values(), names)]).distinct()
     inside = Window.partitionBy(*period).orderBy(number)
     listing = (
         snaps.where(F.col(number).isNotNull()).select(*period, F.col(number)).distinct()
-        .withColumn("__next", F.lead(number).over(inside)).withColumn("__first", F.lag(number).over(inside).isNull())
-        .select(*[F.col(c).alias(f"__p_{c}") for c in (*period, number)], "__next", "__first")
+        .withColumn("__next", F.lead(number).over(inside)).withColumn("__at", F.row_number().over(inside))
+        .select(*[F.col(c).alias(f"__p_{c}") for c in (*period, number)], "__next", "__at")
     )
     same = F.lit(True)
     for c in (*period, number):
         same = same & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
-    twice = F.array(
-        F.struct(F.when(~F.col("__first"), F.col(number)).alias("cmp"), F.lit(1).alias("s")),
-        F.struct(F.col("__next").alias("cmp"), F.lit(-1).alias("s")),
-    )
-    signed = (
+    own, nxt = F.expr(f"__at div {BLOCK}"), F.expr(f"(__at + 1) div {BLOCK}")
+    place = [*period, *keys, "__block"]
+    placed = (
         rows.join(maybe_broadcast(listing, broadcast_rows), same)
-        .withColumn("__x", F.explode(twice))
-        .where("__x.cmp IS NOT NULL")
-        .select(*period, *keys, F.col("__x.cmp").alias("__cmp"), F.col("__x.s").alias("__sign"), *names)
+        .withColumn("__block", F.explode(F.when(F.col("__next").isNotNull() & (own != nxt), F.array(own, nxt)).otherwise(F.array(own))))
+        .select(*place, F.col(number).alias("__own"), "__next", "__at", *names)
+        .repartition(*[F.col(c) for c in place])
+    )
+    twice = F.array(
+        F.struct(F.when((F.col("__at") > 1) & (own == F.col("__block")), F.col("__own")).alias("cmp"), F.lit(1).alias("s")),
+        F.struct(F.when(nxt == F.col("__block"), F.col("__next")).alias("cmp"), F.lit(-1).alias("s")),
     )
-    found = uncancelled(signed, [*period, *keys, "__cmp"], names)
+    signed = placed.withColumn("__x", F.explode(twice)).where("__x.cmp IS NOT NULL").select(*place, F.col("__x.cmp").alias("__cmp"), F.col("__x.s").alias("__sign"), *names)
+    found = uncancelled(signed, [*place, "__cmp"], names)
     change = F.when(F.col("side") > 0, "added").when(F.col("side") < 0, "removed").otherwise("changed")
     real = F.array(*[F.lit(c) for c in fields])
     return found.select(

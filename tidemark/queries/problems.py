@@ -62,9 +62,11 @@ def p2_tables(spark: SparkSession, d: str) -> DataFrame:
         ForeignKey("fills", ("symbol", "trade_date"), "features", ("symbol", "trade_date")),
         ForeignKey("equity_samples", ("run_id",), "fills", ("run_id",)),
     ]
-    found = orphan_cascade(tables, {"features": ["symbol"], "fills": ["fill_id", "trade_date"], "equity_samples": ["sample_id"]}, fks)
+    found = orphan_cascade(tables, {"features": ["symbol"], "fills": ["fill_id", "trade_date"], "equity_samples": ["sample_id", "run_id"]}, fks)
+    dates = table(spark, d, "fills").groupBy("run_id").agg(F.min("trade_date").alias("period"))  # a run belongs to one date
+    samples = found["equity_samples"].join(dates, "run_id", "left")
     one = found["fills"].groupBy(F.lit("fills").alias("table_name"), F.col("trade_date").alias("period"), "kind")
-    two = found["equity_samples"].groupBy(F.lit("equity_samples").alias("table_name"), F.lit("all").alias("period"), "kind")
+    two = samples.groupBy(F.lit("equity_samples").alias("table_name"), F.coalesce("period", F.lit("unknown")).alias("period"), "kind")
     return one.agg(F.count(F.lit(1)).alias("n")).unionByName(two.agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -93,7 +95,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return apply_feed(operations(table(spark, d, "messages")), ORDER, "seq", *_bounds(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_report, p2_tables, p4_found, p5_found, p5_fields, p6_found)}
+def p6_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """``p6_found`` in two goes: what rests after seq 199 is the base to which the rest of the feed is applied, both in trees of several levels."""
+    ops, bounds = operations(table(spark, d, "messages")), _bounds(spark, d)
+    base = apply_feed(ops.where("seq < 200"), ORDER, "seq", *bounds, chunk=64, fan_in=4)
+    return apply_feed(ops.where("seq >= 200"), ORDER, "seq", *bounds, base, chunk=64, fan_in=4)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_report, p2_tables, p4_found, p5_found, p5_fields, p6_found, p6_resumed)}
 
 _USABLE = f"""SELECT DISTINCT symbol, trade_date, ts_ns, seq, best_bid, best_ask, ofi_e FROM features
   WHERE ts_ns IS NOT NULL AND best_bid NOT IN ({NO_ASK}, {NO_BID}) AND best_ask NOT IN ({NO_ASK}, {NO_BID})"""
@@ -148,10 +157,10 @@ FROM j GROUP BY symbol, trade_date, period_ns""",
     "p2_report": f"""WITH RECURSIVE {_CHAIN} SELECT symbol, trade_date, CASE WHEN prev THEN 'inherited' ELSE 'direct' END AS kind, count(*) AS n
 FROM w WHERE orphan GROUP BY ALL""",
     "p2_tables": """WITH f AS (SELECT DISTINCT fill_id, trade_date FROM fills ANTI JOIN features USING (symbol, trade_date)),
-e AS (SELECT sample_id, CASE WHEN run_id NOT IN (SELECT run_id FROM fills) THEN 'direct' ELSE 'inherited' END AS kind FROM
-  (SELECT DISTINCT sample_id, run_id FROM equity_samples) WHERE run_id NOT IN (SELECT run_id FROM fills) OR run_id IN (SELECT run_id FROM fills ANTI JOIN features USING (symbol, trade_date)))
+e AS (SELECT sample_id, coalesce(period, 'unknown') AS period, CASE WHEN run_id NOT IN (SELECT run_id FROM fills) THEN 'direct' ELSE 'inherited' END AS kind FROM
+  (SELECT DISTINCT sample_id, run_id FROM equity_samples) LEFT JOIN (SELECT run_id, min(trade_date) AS period FROM fills GROUP BY run_id) USING (run_id) WHERE run_id NOT IN (SELECT run_id FROM fills) OR run_id IN (SELECT run_id FROM fills ANTI JOIN features USING (symbol, trade_date)))
 SELECT 'fills' AS table_name, trade_date AS period, 'direct' AS kind, count(*) AS n FROM f GROUP BY ALL
-UNION ALL SELECT 'equity_samples', 'all', kind, count(*) FROM e GROUP BY ALL""",
+UNION ALL SELECT 'equity_samples', period, kind, count(*) FROM e GROUP BY ALL""",
     "p4_found": _p4(),
     "p5_found": f"""WITH {_SNAPS}
 SELECT symbol, trade_date, snap_no, lvl, 'changed' AS change FROM {_AB} WHERE {" OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in SNAP_FIELDS)}
@@ -162,3 +171,4 @@ UNION ALL SELECT symbol, trade_date, snap_no, lvl, 'removed' FROM b ANTI JOIN a
 z AS (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date, order_id ORDER BY k DESC) AS last FROM w)
 SELECT symbol, trade_date, order_id, state AS size_left FROM z WHERE last = 1 AND state > 0""",
 }
+ORACLES["p6_resumed"] = ORACLES["p6_found"]
