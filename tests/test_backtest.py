@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.operators.backtest import OPTIMISTIC, PESSIMISTIC, PRO_RATA, Backtest, Fill, FillModel, OfiStrategy, Portfolio, RunSpec, SimOrder, Strategy, max_drawdown, sharpe_ratio
+from tidemark.operators.backtest import OPTIMISTIC, PESSIMISTIC, PRO_RATA, Backtest, Curve, Fill, FillModel, OfiStrategy, Portfolio, RunSpec, SimOrder, Strategy
 from tidemark.operators.book import Message, OrderBook
 from tidemark.schema import BUY, NS_PER_SEC, SELL
 
@@ -213,7 +213,48 @@ def test_portfolio_flips():
     assert p.position == 0 and p.avg_cost == 0 and p.realized == pytest.approx(350) and p.equity(99.0) == pytest.approx(p.realized - p.fees)
 
 
+def curve(points):
+    c = Curve()
+    for value, times in points:
+        c.add(value, times)
+    return c
+
+
 def test_curve_statistics():
-    assert sharpe_ratio([1.0, 2.0], 10) == 0 and sharpe_ratio([1, 2, 3], 10) == 0
-    assert max_drawdown([-5.0, 3.0, 1.0]) == 5.0
-    assert sharpe_ratio([0, 1, 3], 100) == pytest.approx(1.5 / 0.5**0.5 * (100 * 252) ** 0.5)
+    assert curve([(1.0, 1), (2.0, 1)]).sharpe(10) == 0 and curve([(1, 1), (2, 1), (3, 1)]).sharpe(10) == 0
+    assert curve([(-5.0, 1), (3.0, 1), (1.0, 1)]).fall == 5.0
+    assert curve([(0, 1), (1, 1), (3, 1)]).sharpe(100) == pytest.approx(1.5 / 0.5**0.5 * (100 * 252) ** 0.5)
+
+
+def test_a_curve_of_stretches_equals_one_of_points():
+    rnd = random.Random(4)
+    points = [(rnd.uniform(-5, 5), rnd.randrange(1, 6)) for _ in range(50)]
+    flat = [v for v, n in points for _ in range(n)]
+    d = [b - a for a, b in zip(flat, flat[1:])]
+    mean = sum(d) / len(d)
+    var = sum((x - mean) ** 2 for x in d) / (len(d) - 1)
+    assert curve(points).sharpe(7) == pytest.approx(mean / var**0.5 * (7 * 252) ** 0.5)
+    assert curve(points).fall == pytest.approx(max(max([0.0, *flat[: i + 1]]) - v for i, v in enumerate(flat)))
+
+
+def noise(n=400):
+    rnd = random.Random(8)
+    return [(i * S // 10, rnd.choice((1, 1, 1, 3, 4, 5)), rnd.randrange(1, 60), rnd.randrange(1, 90), 10_000 + 100 * rnd.randrange(-3, 4), rnd.choice((1, -1))) for i in range(n)]
+
+
+def test_specs_that_share_a_scan_do_as_they_do_alone(spark):
+    from tidemark.operators.backtest import backtest
+
+    feed = spark.createDataFrame([("A", "d", i, *m) for i, m in enumerate(noise())], "symbol string, trade_date string, seq bigint, ts_ns bigint, type int, order_id bigint, size int, price bigint, direction int")
+    base = dict(start_ts=0, end_ts=40 * S, flatten_before_close_ns=2 * S, window_events=5, zscore_window=20, entry_z=0.5, cooldown_ms=0)
+    specs = [RunSpec(**base), RunSpec(**base, latency_us=0, label="fast"), RunSpec(**base, passive_entry=False), RunSpec(**base, price_priority_purge=False), RunSpec(**{**base, "entry_z": 1.0, "window_events": 9})]
+    for output in ("metrics", "fills", "equity", "signals", "counters"):
+        took = lambda out: sorted(tuple(r[c] for c in out.columns if c not in ("spec_id", "label")) for r in out.collect())
+        together = backtest(feed, specs, output=output)
+        for i, spec in enumerate(specs):
+            assert took(together.where(f"spec_id = {i}")) == took(backtest(feed, [spec], output=output))
+    labels = {(r.spec_id, r.label) for r in backtest(feed, specs).collect()}
+    assert labels == {(0, "0"), (1, "fast"), (2, "2"), (3, "3"), (4, "4")}
+    assert backtest(feed, specs, output="fills").count() > 20
+    plan = backtest(feed, specs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 1

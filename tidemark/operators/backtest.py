@@ -1,7 +1,8 @@
 """Event-driven backtests: simulated orders against replayed sessions.
 
-One simulation is sequential: strategy, order, fill, strategy. It runs as the state of an ordered scan, one per (session, spec), so that sweeps
-of specs and sessions run side by side. History and our own delayed actions are merged in time; at equal times history comes first.
+One simulation is sequential: strategy, order, fill, strategy. It runs as the state of an ordered scan over a session. Simulated orders never touch
+the book, so all specs of a sweep run side by side in one scan: a message is read once and applied to one book, whatever the number of specs.
+History and our own delayed actions are merged in time; at equal times history comes first. Fills, samples and signals leave a run as they come.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.signals import SESSION
 from ..schema import BUY, DELETE, EXEC_HIDDEN, EXEC_VISIBLE, NEW_LIMIT, NO_ASK, NO_BID, NS_PER_SEC, PARTIAL_CANCEL, PRICE_SCALE, SELL
 from .book import Message, OrderBook, apply_message, ofi_term, resync
-from .replay import first_books, ordered_scan, parse_snapshot, with_snapshots
+from .replay import STATS, counters, first_books, ordered_scan, parse_snapshot, with_snapshots
 
 PESSIMISTIC, PRO_RATA, OPTIMISTIC = "Pessimistic", "ProRata", "Optimistic"
 
@@ -201,22 +202,20 @@ class Strategy:
     def on_end(self, ctx: Backtest) -> None: ...
 
 
-class OfiStrategy(Strategy):
-    """Trade with the flow when its z-score is extreme; leave when it fades or after a longest hold. One working order at a time."""
+class FlowSignal:
+    """Z-score of the order flow of the last events among its own last values. Strategies of one scan may share it: a message counts once."""
 
-    def __init__(self, spec: RunSpec):
-        self.spec = spec
-        self.terms: deque[int] = deque(maxlen=max(1, spec.window_events))
-        self.flows: deque[float] = deque(maxlen=max(2, spec.zscore_window))
+    def __init__(self, window: int, length: int):
+        self.terms: deque[int] = deque(maxlen=max(1, window))
+        self.flows: deque[float] = deque(maxlen=max(2, length))
         self.flow, self.total, self.squares = 0, 0.0, 0.0
-        self.z, self.history = 0.0, []
-        self.order = self.entered = self.acted = 0
-        self.leaving = False
-
-    def on_start(self, ctx: Backtest) -> None:
-        self.acted = ctx.now
+        self.z, self.seen = 0.0, 0
 
-    def _signal(self, ofi_e: int) -> None:
+    def take(self, ofi_e: int, number: int) -> float:
+        """The score after message ``number``, which only its first caller adds."""
+        if number == self.seen:
+            return self.z
+        self.seen = number
         self.flow += ofi_e - (self.terms[0] if len(self.terms) == self.terms.maxlen else 0)
         self.terms.append(ofi_e)
         w, old = float(self.flow), self.flows[0] if len(self.flows) == self.flows.maxlen else 0.0
@@ -230,10 +229,24 @@ class OfiStrategy(Strategy):
             var = self.squares / n - mean * mean
             if var >= 1e-12:
                 self.z = (w - mean) / math.sqrt(var)
-        self.history.append(self.z)
+        return self.z
+
+
+class OfiStrategy(Strategy):
+    """Trade with the flow when its z-score is extreme; leave when it fades or after a longest hold. One working order at a time."""
+
+    def __init__(self, spec: RunSpec, signal: FlowSignal | None = None):
+        self.spec = spec
+        self.signal = signal or FlowSignal(spec.window_events, spec.zscore_window)
+        self.z = 0.0
+        self.order = self.entered = self.acted = 0
+        self.leaving = False
+
+    def on_start(self, ctx: Backtest) -> None:
+        self.acted = ctx.now
 
     def on_market(self, ctx: Backtest, m: Message, ofi_e: int) -> None:
-        self._signal(ofi_e)
+        self.z = self.signal.take(ofi_e, ctx.seen)
         if ctx.closing:
             return
         s, now = self.spec, ctx.now
@@ -265,21 +278,52 @@ class OfiStrategy(Strategy):
             self.entered = f.ts
 
 
+class Curve:
+    """An equity curve in figures, without its points: last value, greatest fall from a peak that starts at 0, mean and spread of the changes."""
+
+    def __init__(self) -> None:
+        self.last, self.peak, self.fall = None, 0.0, 0.0
+        self.n, self.mean, self.m2 = 0, 0.0, 0.0
+
+    def _merge(self, n: int, mean: float) -> None:
+        """n changes that are all ``mean``."""
+        gap, total = mean - self.mean, self.n + n
+        self.m2 += gap * gap * self.n * n / total
+        self.mean += gap * n / total
+        self.n = total
+
+    def add(self, value: float, times: int) -> None:
+        if self.last is not None:
+            self._merge(1, value - self.last)
+        if times > 1:
+            self._merge(times - 1, 0.0)
+        self.last = value
+        self.peak = max(self.peak, value)
+        self.fall = max(self.fall, self.peak - value)
+
+    def sharpe(self, samples_per_day: float) -> float:
+        """Mean over sample deviation of the changes, for 252 days of ``samples_per_day``; 0 below 3 samples or without variance."""
+        if self.n < 2 or self.m2 <= 0:
+            return 0.0
+        return self.mean / math.sqrt(self.m2 / (self.n - 1)) * math.sqrt(samples_per_day * 252.0)
+
+
 @dataclass
 class Backtest:
-    """One run. Feed messages by ``message`` in order, then call ``finish``; single use."""
+    """One run. Feed messages by ``message`` in order, then call ``finish``; single use. book: one that is shared with other runs, which a scan moves on."""
 
     spec: RunSpec
     strategy: Strategy
     seed: Sequence[tuple[int, int, int]] = ()
+    book: OrderBook = field(default_factory=OrderBook)
     fills: list[Fill] = field(default_factory=list)
-    samples: list[tuple[int, float, int, float]] = field(default_factory=list)
+    stretches: list[tuple[range, float, int, float]] = field(default_factory=list)
     counts: Counter = field(default_factory=Counter)
     applied: Counter = field(default_factory=Counter)
     synced: Counter = field(default_factory=Counter)
 
     def __post_init__(self) -> None:
-        self.book, self.pf, self.model = OrderBook(), Portfolio(), FillModel(self.spec)
+        self.pf, self.model, self.curve = Portfolio(), FillModel(self.spec), Curve()
         self.plant(self.seed)
         self.now = self.next_sample = self.spec.start_ts
         self.orders: dict[int, SimOrder] = {}
@@ -293,6 +337,20 @@ class Backtest:
         for side, price, qty in seed:
             self.book.add_anon(side, price, qty)
 
+    @property
+    def samples(self) -> list[tuple[int, float, int, float]]:
+        """time, equity, position and mid of the samples that weren't taken yet."""
+        return [(t, *rest) for times, *rest in self.stretches for t in times]
+
+    def take_fills(self) -> list[Fill]:
+        new, self.fills = self.fills, []
+        return new
+
+    def take_samples(self) -> list[tuple[int, float, int, float]]:
+        new = self.samples
+        self.stretches = []
+        return new
+
     # --- what a strategy may use
     @property
     def position(self) -> int:
@@ -359,15 +417,21 @@ class Backtest:
         self.last_mid = mid = self._mid()  # nothing happens between the samples of one call
         equity, position = self.pf.equity(mid), self.pf.position
         times = range(self.next_sample, until, self.spec.sample_ns)
-        self.samples += [(t, equity, position, mid) for t in times]
+        self.curve.add(equity, len(times))
+        self.stretches.append((times, equity, position, mid))
         self.next_sample = times[-1] + self.spec.sample_ns
 
     def _book_fills(self, new: list[Fill]) -> None:
         for f in new:
-            self.pf.apply(f)
-            self.fills.append(f)
+            self._keep(f)
             self.strategy.on_fill(self, f)
 
+    def _keep(self, f: Fill) -> None:
+        self.pf.apply(f)
+        self.counts["passive"] += f.passive
+        self.counts["aggressive"] += not f.passive
+        self.fills.append(f)
+
     def _prune(self) -> None:
         self.live = [i for i in self.live if self.orders[i].open]
 
@@ -404,18 +468,25 @@ class Backtest:
             self._flattening = False
 
     def message(self, m: Message, snap: dict | None = None) -> None:
-        self.seen += 1
-        if self.seen <= self.spec.start_index:
+        if self.skips():
             return
+        level_before = self.before(m)
+        self.after(m, move(self.book, m, snap, self.applied, self.synced, self.spec.price_priority_purge), level_before)
+
+    def skips(self) -> bool:
+        """Count a message; whether it is left out because the seed covers it."""
+        self.seen += 1
+        return self.seen <= self.spec.start_index
+
+    def before(self, m: Message) -> int:
+        """All that happens before a message, and what its level shows then."""
         self._drain(m.ts)
         self._sample(m.ts)
         self.now = max(self.now, m.ts)
-        level_before = self.book.level_qty(m.side, m.price) if m.type in (PARTIAL_CANCEL, DELETE) else 0
-        before = self.book.touch()
-        apply_message(self.book, m, self.applied, self.spec.price_priority_purge)
-        if snap is not None:
-            resync(self.book, snap, self.synced)
-        ofi = ofi_term(before, self.book.touch())
+        return self.book.level_qty(m.side, m.price) if m.type in (PARTIAL_CANCEL, DELETE) else 0
+
+    def after(self, m: Message, ofi: int, level_before: int) -> None:
+        """What a message that moved the book does to our orders and to the strategy."""
         new: list[Fill] = []
         for i in self.live:
             o = self.orders[i]
@@ -440,43 +511,30 @@ class Backtest:
             side, qty = (SELL if self.pf.position > 0 else BUY), abs(self.pf.position)
             price = math.floor(self._mid() * PRICE_SCALE + 0.5)
             f = Fill(self.now, 0, side, price, qty, False, self.model.fee(False, qty, price))
-            self.pf.apply(f)
-            self.fills.append(f)
+            self._keep(f)
             self.forced_close = True
         self._sample(self.spec.end_ts + 1)
 
     def metrics(self) -> dict:
         """The run in figures."""
-        curve = [e for _, e, _, _ in self.samples]
         n = self.counts["orders_submitted"] - self.counts["orders_rejected"]
-        pnl = curve[-1] if curve else self.pf.cash
-        passive = sum(f.passive for f in self.fills)
+        pnl = self.pf.cash if self.curve.last is None else self.curve.last
         day = (self.spec.end_ts - self.spec.start_ts) / self.spec.sample_ns
         return {
-            "total_pnl": pnl, "gross_pnl": pnl + self.pf.fees, "realized_pnl": self.pf.realized, "fees": self.pf.fees, "max_drawdown": max_drawdown(curve), "sharpe": sharpe_ratio(curve, day),
-            "volume": self.pf.volume, "n_fills": self.pf.n_fills, "n_orders": n, "n_passive_fills": passive, "n_aggressive_fills": len(self.fills) - passive,
+            "total_pnl": pnl, "gross_pnl": pnl + self.pf.fees, "realized_pnl": self.pf.realized, "fees": self.pf.fees, "max_drawdown": self.curve.fall, "sharpe": self.curve.sharpe(day),
+            "volume": self.pf.volume, "n_fills": self.pf.n_fills, "n_orders": n, "n_passive_fills": self.counts["passive"], "n_aggressive_fills": self.counts["aggressive"],
             "fill_rate": self.counts["orders_with_fill"] / n if n else 0.0, "pnl_per_share": pnl / self.pf.volume if self.pf.volume else 0.0,
             "orders_submitted": self.counts["orders_submitted"], "orders_rejected": self.counts["orders_rejected"], "orders_cancelled": self.counts["orders_cancelled"], "forced_close": self.forced_close,
         }
 
 
-def max_drawdown(curve: Sequence[float]) -> float:
-    """Greatest fall from a peak that starts at 0."""
-    peak = worst = 0.0
-    for e in curve:
-        peak = max(peak, e)
-        worst = max(worst, peak - e)
-    return worst
-
-
-def sharpe_ratio(curve: Sequence[float], samples_per_day: float) -> float:
-    """Mean over sample deviation of the changes, for 252 days of ``samples_per_day``; 0 below 3 samples or without variance."""
-    if len(curve) < 3:
-        return 0.0
-    d = [b - a for a, b in zip(curve, curve[1:])]
-    mean = sum(d) / len(d)
-    var = sum((x - mean) ** 2 for x in d) / (len(d) - 1)
-    return mean / math.sqrt(var) * math.sqrt(samples_per_day * 252.0) if var > 0 else 0.0
+def move(book: OrderBook, m: Message, snap: dict | None, applied: Counter, synced: Counter, purge: bool) -> int:
+    """Move the book on by a message and the snapshot after it; the order-flow imbalance of that."""
+    touch = book.touch()
+    apply_message(book, m, applied, purge)
+    if snap is not None:
+        resync(book, snap, synced)
+    return ofi_term(touch, book.touch())
 
 
 METRICS = T.StructType(
@@ -493,39 +551,79 @@ FILLS = T.StructType(
      T.StructField("passive", T.BooleanType()), T.StructField("fee", T.DoubleType())]
 )
 EQUITY = T.StructType([T.StructField("ts", T.LongType()), T.StructField("equity", T.DoubleType()), T.StructField("position", T.LongType()), T.StructField("mid", T.DoubleType())])
-OUTPUTS = {"metrics": METRICS, "fills": FILLS, "equity": EQUITY}
+SIGNALS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("z", T.DoubleType())])
+OUTPUTS = {"metrics": METRICS, "fills": FILLS, "equity": EQUITY, "signals": SIGNALS, "counters": STATS}
+
+
+class _Market:
+    """A book that the runs of equal ``price_priority_purge`` and ``start_index`` share."""
+
+    def __init__(self, seed: Sequence[tuple[int, int, int]]):
+        self.book, self.applied, self.synced = OrderBook(), Counter(), Counter()
+        self.runs: list[tuple[int, Backtest]] = []
+        self.signals: dict[tuple[int, int], FlowSignal] = {}
+        for planted in seed:
+            self.book.add_anon(*planted)
 
 
-class _Run:
-    """A backtest as the state of an ordered scan."""
+class _Runs:
+    """The backtests of all specs over a session, as the state of an ordered scan."""
 
     def __init__(self, specs: list[RunSpec], make: Callable[[RunSpec], Strategy], output: str):
         self.specs, self.make, self.output = specs, make, output
-        self.bt: Backtest | None = None
+        self.markets: dict[tuple[bool, int], _Market] | None = None
         self.now = 0
-        self.sent = [0, 0]
+
+    def _start(self, seed: list[tuple[int, int, int]], covered: bool) -> None:
+        self.markets = {}
+        for i, spec in enumerate(self.specs):
+            spec = spec if covered else replace(spec, start_index=0)
+            place = self.markets.setdefault((spec.price_priority_purge, spec.start_index), _Market(seed))
+            strategy = self.make(spec)
+            if type(strategy) is OfiStrategy:
+                strategy.signal = place.signals.setdefault((spec.window_events, spec.zscore_window), strategy.signal)
+            place.runs.append((i, Backtest(spec, strategy, (), place.book, applied=place.applied, synced=place.synced)))
 
     def row(self, v: tuple) -> list[tuple]:
-        _, _, spec_id, _, ts, kind, order_id, size, price, direction, snap, first_book, covered = v
-        if self.bt is None:
-            spec = self.specs[spec_id] if covered else replace(self.specs[spec_id], start_index=0)
-            seed = [] if first_book is None else [(side, *level) for side, levels in parse_snapshot(first_book).items() for level in levels]
-            self.bt = Backtest(spec, self.make(spec), seed)
+        _, _, seq, ts, kind, order_id, size, price, direction, snap, first_book, covered = v
+        if self.markets is None:
+            self._start([] if first_book is None else [(side, *level) for side, levels in parse_snapshot(first_book).items() for level in levels], bool(covered))
         ts = self.now = max(self.now, ts) if ts is not None else self.now
+        m = Message(ts, kind, order_id, size, price, BUY if direction >= 0 else SELL)
         levels = None if snap is None else parse_snapshot(snap)
-        self.bt.message(Message(ts, kind, order_id, size, price, BUY if direction >= 0 else SELL), levels)
-        return []
+        out: list[tuple] = []
+        for (purge, _), place in self.markets.items():
+            if [bt.skips() for _, bt in place.runs][0]:
+                continue
+            shown = [bt.before(m) for _, bt in place.runs]
+            ofi = move(place.book, m, levels, place.applied, place.synced, purge)
+            for (i, bt), level_before in zip(place.runs, shown):
+                bt.after(m, ofi, level_before)
+                if self.output == "signals":
+                    out.append((i, seq, ts, getattr(bt.strategy, "z", None)))
+                elif bt.fills or bt.stretches:
+                    out += self._new(i, bt)
+        return out
 
-    def end(self) -> list[tuple]:
-        if self.bt is None:
-            return []
-        self.bt.finish()
-        if self.output == "metrics":
-            m = self.bt.metrics()
-            return [tuple(m[f.name] for f in METRICS.fields)]
+    def _new(self, i: int, bt: Backtest) -> list[tuple]:
+        """What has come out of a run since it was last asked; what isn't wanted is dropped."""
+        fills, samples = bt.take_fills(), bt.take_samples() if self.output == "equity" else bt.stretches.clear()
         if self.output == "fills":
-            return [(f.ts, f.order_id, f.side, f.price, f.qty, f.passive, f.fee) for f in self.bt.fills]
-        return self.bt.samples
+            return [(i, f.ts, f.order_id, f.side, f.price, f.qty, f.passive, f.fee) for f in fills]
+        return [(i, *x) for x in samples] if samples else []
+
+    def end(self) -> list[tuple]:
+        out: list[tuple] = []
+        for place in (self.markets or {}).values():
+            for i, bt in place.runs:
+                bt.finish()
+                out += self._new(i, bt)
+                if self.output == "metrics":
+                    m = bt.metrics()
+                    out.append((i, *[m[f.name] for f in METRICS.fields]))
+                elif self.output == "counters":
+                    out.append((i, *counters(place.book, place.applied, place.synced)))
+        return out
 
 
 def spec_frame(spark: SparkSession, specs: Sequence[RunSpec]) -> DataFrame:
@@ -537,12 +635,13 @@ def spec_frame(spark: SparkSession, specs: Sequence[RunSpec]) -> DataFrame:
 def backtest(
     messages: DataFrame, specs: Sequence[RunSpec], depth: DataFrame | None = None, levels: int = 3, snapshot: bool = True, output: str = "metrics", make: Callable[[RunSpec], Strategy] = OfiStrategy
 ) -> DataFrame:
-    """Run every spec over every session of a ``feed``: symbol, trade_date, spec_id and ``output``: metrics (a row each), fills or equity.
+    """Run every spec over every session of a ``feed``: symbol, trade_date, spec_id, label and ``output``.
 
-    A spec is data, so a sweep multiplies the messages by the specs and scans (session, spec) groups in parallel. depth: gives the seed
+    output: metrics and counters (a row each), fills, equity, or signals (a row per message). The specs of a session run in one scan: the
+    messages are moved once, however many specs there are. depth: gives the seed
     (``first_books``) and, with ``snapshot``, the levels that the book is put right by at equal seq. ``start_index`` leaves out the messages that the seed
     covers: in a session whose first message no depth row covers, none is left out. Clocks never run back: a message earlier than the one before, or without a
-    time, happens at that one's time.
+    time, happens at that one's time. label: the spec's, or its number.
     """
     if output not in OUTPUTS:
         raise ValueError(f"output is none of {', '.join(OUTPUTS)}: {output}")
@@ -552,8 +651,10 @@ def backtest(
         rows = rows.withColumns({"first_book": F.lit(None).cast("string"), "covered": F.lit(False)})
     else:
         rows = rows.join(first_books(messages, depth, levels), [*SESSION, "seq"], "left").select(*rows.columns, "first_book", "covered")
-    each = rows.withColumn("spec_id", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1)))).select(*SESSION, "spec_id", *[c for c in rows.columns if c not in SESSION])
-    return ordered_scan(each, [*SESSION, "spec_id"], "seq", lambda: _Run(specs, make, output), OUTPUTS[output])
+    kind = T.StructType([T.StructField("spec_id", T.IntegerType()), *OUTPUTS[output].fields])
+    out = ordered_scan(rows, SESSION, "seq", lambda: _Runs(specs, make, output), kind)
+    labels = F.array(*[F.lit(s.label or str(i)) for i, s in enumerate(specs)])
+    return out.select(*SESSION, "spec_id", F.element_at(labels, F.col("spec_id") + 1).alias("label"), *[f.name for f in OUTPUTS[output].fields])
 
 
 def latency_sweep(messages: DataFrame, latencies_us: Sequence[float] = (0, 50, 500, 5000, 50000), base: RunSpec | None = None, **kw) -> DataFrame:
@@ -569,7 +670,7 @@ def entry_threshold_sweep(messages: DataFrame, thresholds: Sequence[float] = (2,
 
 
 def _sweep(messages: DataFrame, name: str, values: Sequence, base: RunSpec | None, **kw) -> DataFrame:
-    specs = [replace(base or RunSpec(), **{name: v}) for v in values]
+    specs = [replace(base or RunSpec(), **{name: v, "label": f"{name}={v}"}) for v in values]
     lit = F.element_at(F.array(*[F.lit(v if isinstance(v, str) else float(v)) for v in values]), F.col("spec_id") + 1)
     return backtest(messages, specs, **kw).withColumn(name, lit)
 
@@ -603,3 +704,49 @@ def ledger(fills: DataFrame, run: str = "run_id") -> DataFrame:
     """
     slim = fills.where("ts IS NOT NULL").select(run, "fill_id", "ts", "side", "price", "qty", "passive", F.coalesce("fee", F.lit(0.0)).alias("fee")).distinct()
     return ordered_scan(slim, [run], ["ts", "fill_id"], _Ledger, LEDGER)
+
+
+class _Shadows:
+    """A resting order behind every order that history adds, each followed for some messages under each assumption; the state of an ordered scan."""
+
+    def __init__(self, life: int, assumptions: Sequence[str]):
+        self.life, self.book, self.stats = life, OrderBook(), Counter()
+        self.models = [FillModel(RunSpec(cancel_assumption=a)) for a in assumptions]
+        self.live: deque[tuple[int, int, list[SimOrder], list[int]]] = deque()  # place, seq, an order and its number of fills per assumption
+        self.n = 0
+
+    def _row(self, seq: int, orders: list[SimOrder], fills: list[int]) -> list[tuple]:
+        return [(seq, m.spec.cancel_assumption, o.filled, n, o.queue_ahead) for m, o, n in zip(self.models, orders, fills)]
+
+    def row(self, v: tuple) -> list[tuple]:
+        _, _, seq, ts, kind, order_id, size, price, direction = v
+        m = Message(ts or 0, kind, order_id, size, price, BUY if direction >= 0 else SELL)
+        shown = self.book.level_qty(m.side, m.price)
+        adds = self.book.stats["adds"]
+        apply_message(self.book, m, self.stats, False)
+        for _, _, orders, fills in self.live:
+            for k, (model, o) in enumerate(zip(self.models, orders)):
+                fills[k] += len(model.history(o, m, shown))
+        self.n += 1
+        out: list[tuple] = []
+        while self.live and self.n - self.live[0][0] >= self.life:
+            out += self._row(*self.live.popleft()[1:])
+        if self.book.stats["adds"] > adds:
+            ahead = self.book.level_qty(m.side, m.price)
+            self.live.append((self.n, seq, [SimOrder(0, m.side, m.price, m.size, m.ts, state="live", queue_ahead=ahead) for _ in self.models], [0] * len(self.models)))
+        return out
+
+    def end(self) -> list[tuple]:
+        return [r for x in self.live for r in self._row(*x[1:])]
+
+
+SHADOWS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("assumption", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("filled", "n_fills", "queue_left")]])
+
+
+def shadow_orders(messages: DataFrame, life: int = 32, assumptions: Sequence[str] = (PESSIMISTIC, PRO_RATA, OPTIMISTIC)) -> DataFrame:
+    """For every order that a ``feed`` adds, what a simulated order of its side, price and size right behind it would get within the next ``life`` messages.
+
+    symbol, trade_date, seq (of the message that adds), assumption (on cancels ahead of it), filled, n_fills and queue_left. The book is the message-only one.
+    """
+    rows = messages.select(*SESSION, "seq", "ts_ns", F.col("type").cast("int").alias("type"), "order_id", "size", "price", "direction")
+    return ordered_scan(rows, SESSION, "seq", lambda: _Shadows(life, assumptions), SHADOWS)

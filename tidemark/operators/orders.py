@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.signals import SESSION
+from ..functions.signals import SESSION, ofi_term
+from ..schema import NO_ASK, NO_BID
 from .lifecycle import CLOSE, OPEN, REDUCE
 from .paged import PAGE, paged_fold
 from .patches import Patches
@@ -93,3 +94,74 @@ def queue_positions(feed: DataFrame, page: int = PAGE) -> DataFrame:
     """Each order that rests at the end with what stands before it in its level: session, order_id, side, px, remaining, queue_ahead."""
     level = Window.partitionBy(*SESSION, "side", "px").orderBy("born").rowsBetween(Window.unboundedPreceding, -1)
     return _closing(feed, page).select(*SESSION, "order_id", "side", "px", F.col("rest").alias("remaining"), F.coalesce(F.sum("rest").over(level), F.lit(0)).alias("queue_ahead"))
+
+
+STRETCH = 65_536  # order numbers whose rows look back at one another in one task
+
+
+def _cover(start: str, end: str, height: int) -> Column:
+    """The nodes (level, place) of a tree of fan-out 4 over the order numbers that make up [start, end) exactly."""
+
+    def at(k: Column) -> Column:
+        step, l, r = F.pow(F.lit(4), k).cast("bigint"), F.col(start), F.col(end)
+        l, r = F.floor((l + step - 1) / step).cast("bigint"), F.floor(r / step).cast("bigint")
+        up = F.least(r, F.floor((l + 3) / 4).cast("bigint") * 4)
+        down = F.greatest(up, F.floor(r / 4).cast("bigint") * 4)
+        run = lambda a, b: F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), lambda n: F.struct(k.alias("k"), n.alias("node")))).otherwise(F.array().cast("array<struct<k:int,node:bigint>>"))
+        return F.when(l < r, F.concat(run(l, up), run(down, r))).otherwise(F.array().cast("array<struct<k:int,node:bigint>>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height)), at))
+
+
+def touches(feed: DataFrame, points: DataFrame, page: int = PAGE) -> DataFrame:
+    """``points`` (session, seq and other columns) with the best bid and ask and their quantities after the message of that order number; an empty side has a spelled-out price.
+
+    Every stretch in which a level shows a quantity is an interval of order numbers. It is put into the few nodes of a tree that make it up, a point asks
+    the nodes above it, one on each level, and the best price among them is the touch. So no session is gone through in one task.
+    """
+    last = feed.agg(F.max("seq")).first()[0] or 0
+    height = 0
+    while 4**height <= last + 1:
+        height += 1
+    level = Window.partitionBy(*SESSION, "side", "px").orderBy("seq")
+    shown = level_changes(feed, page).withColumn("until", F.coalesce(F.lead("seq").over(level), F.lit(4**height))).where("qty > 0")
+    best = lambda side: F.max(F.when(F.col("side") == side, F.struct((F.col("px") * side).alias("rank"), "qty")))
+    nodes = (
+        shown.select(*SESSION, "side", "px", "qty", F.explode(_cover("seq", "until", height)).alias("n"))
+        .groupBy(*SESSION, "n.k", "n.node").agg(best(1).alias("bid"), best(-1).alias("ask"))
+    )
+    asked = points.select(*SESSION, "seq").distinct().where("seq >= 0").select(*SESSION, "seq", F.explode(F.sequence(F.lit(0), F.lit(height))).alias("k")).withColumn("node", F.floor(F.col("seq") / F.pow(F.lit(4), F.col("k"))).cast("bigint"))
+    top = asked.join(nodes, [*SESSION, "k", "node"]).groupBy(*SESSION, "seq").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"))
+    found = points.join(top, [*SESSION, "seq"], "left")
+    return found.select(
+        *points.columns, F.coalesce(F.col("bid.rank"), F.lit(NO_BID)).alias("best_bid"), F.coalesce(F.col("bid.qty"), F.lit(0).cast("bigint")).alias("bid_qty"),
+        F.coalesce(-F.col("ask.rank"), F.lit(NO_ASK)).alias("best_ask"), F.coalesce(F.col("ask.qty"), F.lit(0).cast("bigint")).alias("ask_qty"),
+    )
+
+
+def message_features(feed: DataFrame, page: int = PAGE) -> DataFrame:
+    """The message-only replay in sets: per message seq, ts_ns, type, touch, ofi_e, trade_qty and trade_side, as ``replay`` gives them.
+
+    A row looks back at the one before it within stretches of ``STRETCH`` order numbers; the state at the beginning of a stretch is one more point of the tree.
+    """
+    cols = ["seq", "ts_ns", "type", "size", "direction"]
+    rows = feed.select(*SESSION, *cols, F.expr(f"seq div {STRETCH}").alias("part"), F.lit(True).alias("own"))
+    begins = rows.select(*SESSION, "part").distinct().select(*SESSION, (F.col("part") * STRETCH - 1).alias("seq"), *[F.lit(None).cast(feed.schema[c].dataType).alias(c) for c in cols[1:]], "part", F.lit(False).alias("own"))
+    seen = touches(feed, rows.unionByName(begins), page)
+    w = Window.partitionBy(*SESSION, "part").orderBy("seq")
+    real = {"pb": ("best_bid", NO_BID), "pa": ("best_ask", NO_ASK)}
+    price = {k: F.when(F.col(c) != none, F.col(c)) for k, (c, none) in real.items()}
+    now = seen.withColumns(price)
+    before = {f"{c}0": F.lag(c).over(w) for c in ("pb", "bid_qty", "pa", "ask_qty")}
+    trade = F.col("type").isin(4, 5)
+    # ts_ns: a message without a time happens at that of the one before
+    clock = F.coalesce(F.last("ts_ns", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"), F.lit(0).cast("bigint"))
+    totals = rows.groupBy(*SESSION, "part").agg(F.max_by("ts_ns", F.when(F.col("ts_ns").isNotNull(), F.col("seq"))).alias("t"))
+    over = Window.partitionBy(*SESSION).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*SESSION, "part", F.last("t", ignorenulls=True).over(over).alias("carried"))
+    flow = ofi_term(*[F.col(c) for c in ("pb", "bid_qty", "pa", "ask_qty", "pb0", "bid_qty0", "pa0", "ask_qty0")])
+    out = now.join(totals, [*SESSION, "part"]).withColumns({**before, "clock": clock}).where("own")
+    return out.select(
+        *SESSION, "seq", F.col("clock").alias("ts_ns"), F.col("type").cast("int").alias("type"), "best_bid", "bid_qty", "best_ask", "ask_qty", flow.alias("ofi_e"),
+        F.when(trade, F.col("size")).otherwise(0).cast("bigint").alias("trade_qty"), F.when(trade, F.when(F.col("direction") >= 0, 1).otherwise(-1)).otherwise(0).cast("bigint").alias("trade_side"),
+    )

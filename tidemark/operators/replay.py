@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 from ..functions.signals import SESSION
 from ..plans.scratch import ship
-from ..schema import BUY, EXEC_HIDDEN, EXEC_VISIBLE, NO_ASK, NO_BID, SELL, depth_columns
+from ..schema import BUY, EXEC_HIDDEN, EXEC_VISIBLE, NO_ASK, NO_BID, SELL, depth_columns, real_price, real_size
 from .book import APPLY_COUNTERS, BOOK_COUNTERS, RESYNC_COUNTERS, Message, OrderBook, apply_message, ofi_term, resync
-from .depth import compare_levels, long_levels, real_levels, seeds
+from .depth import long_levels, real_levels, seeds
 
 
 def feed(messages: DataFrame) -> DataFrame:
@@ -143,8 +143,12 @@ class Replay:
     def end(self) -> list[tuple]:
         if not self.stats_only:
             return []
-        book = self.book.stats
-        return [(*[self.applied[c] for c in APPLY_COUNTERS], *[book[c] for c in BOOK_COUNTERS], *[self.synced[c] for c in RESYNC_COUNTERS])]
+        return [counters(self.book, self.applied, self.synced)]
+
+
+def counters(book: OrderBook, applied: Counter, synced: Counter) -> tuple:
+    """A row of ``STATS``."""
+    return (*[applied[c] for c in APPLY_COUNTERS], *[book.stats[c] for c in BOOK_COUNTERS], *[synced[c] for c in RESYNC_COUNTERS])
 
 
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in (*APPLY_COUNTERS, *BOOK_COUNTERS, *[f"resync_{c}" for c in RESYNC_COUNTERS])])
@@ -221,19 +225,55 @@ def replay_stats(messages: DataFrame, depth: DataFrame | None = None, levels: in
     return ordered_scan(rows, SESSION, "seq", lambda: Replay(start, 0, purge, True), STATS)
 
 
+class _Modes:
+    """The replays of a session in several modes at once, each compared with the recorded depth of the same seq; rows are those of ``Replay`` and ``recorded``."""
+
+    def __init__(self, modes: Sequence[str], levels: int):
+        self.runs = [(m, Replay(1, levels, m != "message_only", False), [0, 0, 0, None]) for m in modes]
+        self.one = 4  # columns of the first level
+
+    def row(self, v: tuple) -> list[tuple]:
+        *row, recorded = v
+        wanted = None if recorded is None else [int(x) for x in recorded.split(";")]
+        for mode, run, seen in self.runs:
+            (got,) = run.row(tuple(row) if mode == "snapshot_resync" else (*row[:-1], None))
+            if wanted is None:
+                continue
+            depth = list(got[len(REPLAY.fields) :])
+            seen[0] += 1
+            if depth == wanted:
+                seen[1] += 1
+            elif seen[3] is None:
+                seen[3] = got[0]
+            seen[2] += depth[: self.one] == wanted[: self.one]
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(mode, n, exact, one, 100.0 * exact / n, 100.0 * one / n, first) for mode, _, (n, exact, one, first) in self.runs if n]
+
+
+CHECKED = T.StructType(
+    [T.StructField("mode", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_rows", "n_exact", "n_l1_exact")], T.StructField("exact_pct", T.DoubleType()), T.StructField("l1_pct", T.DoubleType()),
+     T.StructField("first_mismatch", T.LongType())]
+)
+
+
 def validate(messages: DataFrame, depth: DataFrame, levels: int = 3, modes: Sequence[str] = MODES) -> DataFrame:
     """Per mode and session, each replay against the recorded depth of the same seq: n_rows, n_exact, n_l1_exact, exact_pct, l1_pct, first_mismatch.
 
-    Replays are seeded from the session's first depth row and start at message 1.
+    Replays are seeded from the session's first depth row and start at message 1. All modes go through the messages in one scan, each with its own book. Of several
+    different depth rows of a seq the greatest counts, as in a resync. Both spellings of an empty side are equal.
     """
-    out = None
     for mode in modes:
-        got = replay_wide(messages, depth, levels, mode, 1, levels, True)
-        one = compare_levels(got, depth, levels).select(
-            F.lit(mode).alias("mode"), *SESSION, "n_rows", "n_exact", "n_l1_exact", (100.0 * F.col("n_exact") / F.col("n_rows")).alias("exact_pct"), (100.0 * F.col("n_l1_exact") / F.col("n_rows")).alias("l1_pct"), "first_mismatch"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+        if mode not in MODES:
+            raise ValueError(f"mode is none of {', '.join(MODES)}: {mode}")
+    rows = with_snapshots(messages, depth, levels, True, True)
+    one = depth.where("seq IS NOT NULL").groupBy(*SESSION, "seq").agg(F.max(F.struct(*depth_columns(levels))).alias("d"))
+    empty = {c: F.lit(NO_ASK if c.startswith("ask") else NO_BID) for c in depth_columns(levels) if "_px_" in c}
+    plain = F.array_join(F.array(*[F.coalesce(real_price(f"d.{c}"), empty[c]) if c in empty else real_size(f"d.{c}").cast("bigint") for c in depth_columns(levels)]), ";")
+    rows = rows.join(one.select(*SESSION, "seq", plain.alias("recorded")), [*SESSION, "seq"], "left").select(*rows.columns, "recorded")
+    out = ordered_scan(rows, SESSION, "seq", lambda: _Modes(modes, levels), CHECKED)
+    return out.select("mode", *SESSION, *[f.name for f in CHECKED.fields[1:]])
 
 
 def explain_row(messages: DataFrame, depth: DataFrame, symbol: str, trade_date: str, seq: int, mode: str = "priority_purge", levels: int = 3) -> DataFrame:

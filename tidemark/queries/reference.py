@@ -161,6 +161,44 @@ def replay_message_only(spark: SparkSession, d: str) -> DataFrame:
     return rp.replay(_feed(spark, d)).drop("ts_ns")
 
 
+@query(ORACLES["replay_message_only"])
+def replay_in_sets(spark: SparkSession, d: str) -> DataFrame:
+    """``replay_message_only`` without a scan of sessions: for sessions that are too long for a task."""
+    return orders.message_features(_feed(spark, d)).drop("ts_ns")
+
+
+_SIGN = "CASE WHEN m.direction >= 0 THEN 1 ELSE -1 END"
+_TOP = lambda s, order: f"list_sort(list_distinct([o.p FOR o IN book IF o.s = {s}]), '{order}')"
+_SUM = lambda s, j, x: f"coalesce(list_sum([o.q FOR o IN book IF o.s = {s} AND o.p = {x}[{j}]]), 0)::BIGINT"
+
+
+# a book is a list of orders, carried from message to message
+_PURGED = f"""{_FEED}, m AS (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY seq) AS k FROM f),
+b AS (SELECT DISTINCT symbol, trade_date, 0::BIGINT AS k, []::STRUCT(id BIGINT, s INT, p BIGINT, q BIGINT)[] AS book FROM f
+  UNION ALL
+  SELECT symbol, trade_date, k, CASE
+      WHEN type = 1 AND size > 0 AND price > 0 THEN CASE WHEN order_id IN [o.id FOR o IN kept] THEN kept ELSE list_append(kept, {{'id': order_id, 's': side, 'p': price, 'q': size::BIGINT}}) END
+      WHEN type IN (2, 4) THEN [{{'id': o.id, 's': o.s, 'p': o.p, 'q': CASE WHEN o.id = order_id THEN o.q - size ELSE o.q END}} FOR o IN kept IF o.id <> order_id OR o.q > size]
+      WHEN type = 3 THEN [o FOR o IN kept IF o.id <> order_id] ELSE kept END
+  FROM (SELECT m.*, {_SIGN} AS side, CASE
+      WHEN m.type = 1 AND m.size > 0 AND m.price > 0 THEN [o FOR o IN b.book IF o.s = {_SIGN} OR (o.p - m.price) * ({_SIGN}) > 0]
+      WHEN m.type = 4 OR m.type = 5 AND m.price > 0 THEN [o FOR o IN b.book IF o.s <> {_SIGN} OR (o.p - m.price) * ({_SIGN}) <= 0] ELSE b.book END AS kept
+    FROM b JOIN m ON m.symbol = b.symbol AND m.trade_date = b.trade_date AND m.k = b.k + 1)),
+t AS (SELECT symbol, trade_date, k, book, {_TOP(1, "DESC")} AS bp, {_TOP(-1, "ASC")} AS ap FROM b WHERE k > 0),
+l AS (SELECT m.symbol, m.trade_date, m.seq, m.type, m.size, m.direction, {", ".join(f"coalesce(bp[{j}], {NO_BID}) AS bid_px_{j}, {_SUM(1, j, 'bp')} AS bid_sz_{j}, coalesce(ap[{j}], {NO_ASK}) AS ask_px_{j}, {_SUM(-1, j, 'ap')} AS ask_sz_{j}" for j in (1, 2, 3))}
+  FROM t JOIN m USING (symbol, trade_date, k)),
+o AS (SELECT *, bid_px_1 AS pb, bid_sz_1 AS qb, ask_px_1 AS pa, ask_sz_1 AS qa, lag(bid_px_1, 1, {NO_BID}) OVER u AS pb0, lag(bid_sz_1, 1, 0) OVER u AS qb0, lag(ask_px_1, 1, {NO_ASK}) OVER u AS pa0, lag(ask_sz_1, 1, 0) OVER u AS qa0
+  FROM l WINDOW u AS (PARTITION BY symbol, trade_date ORDER BY seq))"""
+_FLOW = f"""(CASE WHEN pb = {NO_BID} OR pb0 = {NO_BID} OR pa = {NO_ASK} OR pa0 = {NO_ASK} THEN 0 ELSE CASE WHEN pb >= pb0 THEN qb ELSE 0 END - CASE WHEN pb <= pb0 THEN qb0 ELSE 0 END
+    - CASE WHEN pa <= pa0 THEN qa ELSE 0 END + CASE WHEN pa >= pa0 THEN qa0 ELSE 0 END END)::BIGINT AS ofi_e"""
+
+
+@query(f"WITH RECURSIVE {_PURGED} SELECT symbol, trade_date, seq, type::INT AS type, {_FLOW}, {', '.join(f'{s}_{w}_{j}' for j in (1, 2, 3) for s in ('ask', 'bid') for w in ('px', 'sz'))} FROM o")
+def replay_purged_depth(spark: SparkSession, d: str) -> DataFrame:
+    r = rp.replay_wide(_feed(spark, d), None, 3, "priority_purge", 0, 3, False)
+    return r.select(*SESSION, "seq", "type", "ofi_e", *dp.depth_columns(3))
+
+
 @query()
 def replay_priority_purge(spark: SparkSession, d: str) -> DataFrame:
     return rp.replay(_feed(spark, d), mode="priority_purge", depth_k=3).withColumns({"asks": F.col("asks").cast("string"), "bids": F.col("bids").cast("string")})
@@ -399,6 +437,27 @@ def mid_sample_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- backtests
+_SHADOW = f"""{_LIFE},
+g AS (SELECT f.*, row_number() OVER (PARTITION BY f.symbol, f.trade_date ORDER BY f.seq) AS n, CASE WHEN f.direction >= 0 THEN 1 ELSE -1 END AS s FROM f),
+h AS (SELECT g.*, coalesce(v.qty, 0) AS shown FROM g LEFT JOIN v ON v.symbol = g.symbol AND v.trade_date = g.trade_date AND v.side = g.s AND v.px = g.price AND v.seq < g.seq AND (v.nxt IS NULL OR v.nxt >= g.seq)),
+y AS (SELECT g.symbol, g.trade_date, g.seq, g.n, g.n AS pos, g.s AS side, g.price AS px, g.size::BIGINT AS want, v.qty AS ahead, 0::BIGINT AS filled, 0::BIGINT AS fills, a AS assumption
+    FROM g JOIN v ON v.symbol = g.symbol AND v.trade_date = g.trade_date AND v.seq = g.seq AND v.delta > 0, (SELECT unnest(['Pessimistic', 'ProRata', 'Optimistic']) AS a) WHERE g.type = 1
+  UNION ALL
+  SELECT symbol, trade_date, seq, n, pos + 1, side, px, want, ahead - eaten, filled + least(hit, want - filled), fills + CASE WHEN least(hit, want - filled) > 0 THEN 1 ELSE 0 END, assumption FROM (
+    SELECT *, CASE WHEN done THEN 0 WHEN type = 4 AND same AND price = px THEN least(size, ahead)
+          WHEN type IN (2, 3) AND same AND price = px AND ahead > 0 THEN CASE assumption WHEN 'Optimistic' THEN least(size, ahead)
+            WHEN 'ProRata' THEN CASE WHEN shown > 0 THEN least(floor(size * (ahead / shown) + 0.5)::BIGINT, ahead) ELSE 0 END ELSE 0 END ELSE 0 END AS eaten,
+        CASE WHEN done THEN 0 WHEN type IN (4, 5) AND same THEN CASE WHEN (px - price) * side > 0 THEN size WHEN price <> px THEN 0 WHEN type = 5 THEN CASE WHEN ahead = 0 THEN size ELSE 0 END ELSE size - least(size, ahead) END
+          WHEN type = 1 AND NOT same AND (price - px) * side <= 0 THEN size ELSE 0 END AS hit
+    FROM (SELECT y.*, h.type, h.size, h.price, h.shown, h.s = y.side AS same, y.filled = y.want AS done FROM y JOIN h ON h.symbol = y.symbol AND h.trade_date = y.trade_date AND h.n = y.pos + 1 WHERE y.pos - y.n < 32)))"""
+
+
+@query(f"WITH RECURSIVE {_SHADOW} SELECT symbol, trade_date, seq, assumption, arg_max(filled, pos) AS filled, arg_max(fills, pos) AS n_fills, arg_max(ahead, pos) AS queue_left FROM y GROUP BY symbol, trade_date, seq, assumption")
+def shadow_fills(spark: SparkSession, d: str) -> DataFrame:
+    """The fill model on an order behind every order of history."""
+    return bt.shadow_orders(_feed(spark, d))
+
+
 _BASE = bt.RunSpec(window_events=20, zscore_window=100, entry_z=1.5, max_hold_s=600, order_ttl_s=60)
 
 

@@ -66,11 +66,11 @@ def live_fills(messages: DataFrame, spec: RunSpec, make: Callable[[RunSpec], Str
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, last, clock = pickle.loads(state.get[0]) if state.exists else (Backtest(spec, make(spec)), -1, 0)
-        sent, out = len(run.fills), []
         for seq, m in _ordered(frames, last, clock):
             run.message(m)
             last, clock = seq, m.ts
-        out = [(*key, f.ts, f.order_id, f.side, f.price, f.qty, f.passive, f.fee) for f in run.fills[sent:]]
+        out = [(*key, f.ts, f.order_id, f.side, f.price, f.qty, f.passive, f.fee) for f in run.take_fills()]
+        run.stretches.clear()
         state.update((pickle.dumps((run, last, clock)),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FILLS.split(", ")])
 
