@@ -18,6 +18,7 @@ from ..operators.markouts import adverse_selection, markouts
 from ..operators.orphans import stale_references
 from ..plans.scratch import table
 from ..schema import NO_ASK, NO_BID
+from . import book_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -204,12 +205,12 @@ def replay_priority_purge(spark: SparkSession, d: str) -> DataFrame:
     return rp.replay(_feed(spark, d), mode="priority_purge", depth_k=3).withColumns({"asks": F.col("asks").cast("string"), "bids": F.col("bids").cast("string")})
 
 
-@query()
+@query(book_sql.stats_sql(_FEED))
 def replay_resync_stats(spark: SparkSession, d: str) -> DataFrame:
     return rp.replay_stats(_feed(spark, d), _depth(spark, d), 3, "snapshot_resync", 1, True)
 
 
-@query()
+@query(book_sql.validate_sql(_FEED, list(rp.MODES)))
 def validate_modes(spark: SparkSession, d: str) -> DataFrame:
     return rp.validate(_feed(spark, d), _depth(spark, d))
 
