@@ -52,6 +52,7 @@ class RunSpec:
     flatten_before_close_ns: int = 60 * NS_PER_SEC
     start_index: int = 1
     price_priority_purge: bool = True
+    flatten: bool = True  # close what is held at the end
 
     @property
     def latency_ns(self) -> int:
@@ -462,7 +463,7 @@ class Backtest:
         self.closing = True
         for i in list(self.live):
             self.cancel(i)
-        if self.pf.position:
+        if self.pf.position and self.spec.flatten:
             self._flattening = True
             self.submit_market(SELL if self.pf.position > 0 else BUY, abs(self.pf.position))
             self._flattening = False
@@ -507,7 +508,7 @@ class Backtest:
         self._drain(None)
         self.ended = True
         self.strategy.on_end(self)
-        if self.pf.position:
+        if self.pf.position and self.spec.flatten:
             side, qty = (SELL if self.pf.position > 0 else BUY), abs(self.pf.position)
             price = math.floor(self._mid() * PRICE_SCALE + 0.5)
             f = Fill(self.now, 0, side, price, qty, False, self.model.fee(False, qty, price))

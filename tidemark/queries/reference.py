@@ -459,6 +459,59 @@ def shadow_fills(spark: SparkSession, d: str) -> DataFrame:
     return bt.shadow_orders(_feed(spark, d))
 
 
+class Planned(bt.Strategy):
+    """Orders at fixed times, whatever happens: each half hour one at our own best price, every fourth one at the market. Only in a two-sided book."""
+
+    TIMES = [34_200_000_000_000 + i * 1_800_000_000_000 for i in range(1, 14)]
+
+    def on_start(self, ctx: bt.Backtest) -> None:
+        self.next = 0
+        for t in self.TIMES:
+            ctx.schedule_timer(t)
+
+    def on_market(self, ctx: bt.Backtest, m, ofi_e: int) -> None: ...
+
+    def on_timer(self, ctx: bt.Backtest, now: int) -> None:
+        i, self.next = self.next, self.next + 1
+        if ctx.book.two_sided():
+            side = 1 if i % 2 else -1
+            if i % 4 == 0:
+                ctx.submit_market(side, 400)
+            else:
+                ctx.submit_limit(side, ctx.book.best_price(side), 150)
+
+
+_PLAN = bt.RunSpec(label="planned", start_index=0, price_priority_purge=False, max_position=10**9, start_ts=34_200 * 10**9, end_ts=10**17, latency_us=250_000, flatten=False)
+_HELD = "v.symbol = {0}.symbol AND v.trade_date = {0}.trade_date AND v.seq <= {0}.{1} AND (v.nxt IS NULL OR v.nxt > {0}.{1}) AND v.qty > 0"
+_PLANNED = f"""{_LIFE},
+g AS (SELECT f.*, row_number() OVER u AS n, coalesce(max(ts_ns) OVER (u ROWS UNBOUNDED PRECEDING), 0) AS clock, CASE WHEN direction >= 0 THEN 1 ELSE -1 END AS s FROM f WINDOW u AS (PARTITION BY symbol, trade_date ORDER BY seq)),
+h AS (SELECT g.*, coalesce(v.qty, 0) AS shown FROM g LEFT JOIN v ON v.symbol = g.symbol AND v.trade_date = g.trade_date AND v.side = g.s AND v.px = g.price AND v.seq < g.seq AND (v.nxt IS NULL OR v.nxt >= g.seq)),
+p AS (SELECT symbol, trade_date, i, t, CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END AS side, i % 4 = 0 AS market, CASE WHEN i % 4 = 0 THEN 400 ELSE 150 END AS want, max(seq) FILTER (clock <= t) AS sent, max(seq) FILTER (clock <= t + 250000000) AS met, max(n) FILTER (clock <= t + 250000000) AS pos
+  FROM g, (SELECT i, {Planned.TIMES[0]} + i * 1800000000000 AS t FROM range(13) r(i)) GROUP BY symbol, trade_date, i, t HAVING max(clock) > t),
+q AS (SELECT p.symbol, p.trade_date, p.i, max(v.px) FILTER (v.side = 1) AS bid, min(v.px) FILTER (v.side = -1) AS ask FROM p JOIN v ON {_HELD.format('p', 'sent')} GROUP BY ALL),
+r0 AS (SELECT p.*, CASE WHEN market THEN side * {NO_ASK} WHEN side = 1 THEN bid ELSE ask END AS px, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY i) AS order_id FROM p JOIN q USING (symbol, trade_date, i) WHERE bid IS NOT NULL AND ask IS NOT NULL),
+lv AS (SELECT r0.*, v.px AS lpx, least(v.qty, want - coalesce(sum(v.qty) OVER (PARTITION BY r0.symbol, r0.trade_date, r0.i ORDER BY v.px * r0.side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS got
+  FROM r0 JOIN v ON {_HELD.format('r0', 'met')} AND v.side = -r0.side AND (v.px - r0.px) * r0.side <= 0),
+tk AS (SELECT * FROM lv WHERE got > 0),
+y AS (SELECT r0.symbol, r0.trade_date, r0.order_id, r0.side, r0.px, r0.pos, r0.want - coalesce(a.taken, 0) AS rest, coalesce(v.qty, 0) AS ahead, 0::BIGINT AS fill, 0::BIGINT AS clock
+    FROM r0 LEFT JOIN (SELECT symbol, trade_date, i, sum(got)::BIGINT AS taken FROM tk GROUP BY ALL) a USING (symbol, trade_date, i) LEFT JOIN v ON {_HELD.format('r0', 'met')} AND v.side = r0.side AND v.px = r0.px WHERE NOT market
+  UNION ALL
+  SELECT symbol, trade_date, order_id, side, px, pos + 1, rest - least(hit, rest), ahead - eaten, least(hit, rest), clock FROM (
+    SELECT *, CASE WHEN type = 4 AND same AND price = px THEN least(size, ahead)
+          WHEN type IN (2, 3) AND same AND price = px AND ahead > 0 AND shown > 0 THEN least(floor(size * (ahead / shown) + 0.5)::BIGINT, ahead) ELSE 0 END AS eaten,
+        CASE WHEN type IN (4, 5) AND same THEN CASE WHEN (px - price) * side > 0 THEN size WHEN price <> px THEN 0 WHEN type = 5 THEN CASE WHEN ahead = 0 THEN size ELSE 0 END ELSE size - least(size, ahead) END
+          WHEN type = 1 AND NOT same AND (price - px) * side <= 0 THEN size ELSE 0 END AS hit
+    FROM (SELECT y.symbol, y.trade_date, y.order_id, y.side, y.px, y.pos, y.rest, y.ahead, h.type, h.size, h.price, h.shown, h.clock, h.s = y.side AS same FROM y JOIN h ON h.symbol = y.symbol AND h.trade_date = y.trade_date AND h.n = y.pos + 1 WHERE y.rest > 0)))"""
+
+
+@query(f"""WITH RECURSIVE {_PLANNED} SELECT symbol, trade_date, order_id, t + 250000000 AS ts, side, lpx AS price, got::BIGINT AS qty, false AS passive, round(got * 0.003::DOUBLE, 6) AS fee FROM tk
+UNION ALL SELECT symbol, trade_date, order_id, clock, side, px, fill, true, round(fill * -0.002::DOUBLE, 6) FROM y WHERE fill > 0""")
+def planned_fills(spark: SparkSession, d: str) -> DataFrame:
+    """The event loop on its own: timers, latency, arrival, queues and fees of planned orders; what they hold at the end is kept."""
+    f = bt.backtest(_feed(spark, d), [_PLAN], output="fills", make=lambda spec: Planned())
+    return f.select(*SESSION, "order_id", "ts", "side", "price", "qty", "passive", F.round("fee", ROUND).alias("fee"))
+
+
 _BASE = bt.RunSpec(window_events=20, zscore_window=100, entry_z=1.5, max_hold_s=600, order_ttl_s=60)
 
 
