@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.__main__ import main
+from tidemark.__main__ import main, spec_of
 from tidemark.functions.signals import SESSION
 from tidemark.operators.backtest import Backtest, OfiStrategy, RunSpec
 from tidemark.operators.book import Message
@@ -93,12 +93,16 @@ def test_live_equals_batch(spark, tmp_path):
 
 
 def test_command_line(spark, folder, capsys):
-    main(["convert", str(folder / "raw"), str(folder / "data"), "--levels", "2"])
-    main(["validate", str(folder / "data"), "--levels", "2", "--out", str(folder / "v.csv")])
+    main(["store", str(folder / "raw"), str(folder / "data"), "--levels", "2"])
+    main(["check", str(folder / "data"), "--levels", "2", "--to", str(folder / "v.csv")])
     v = spark.read.option("header", True).csv(str(folder / "v.csv")).collect()
     assert len(v) == 6 and all(r.n_exact == r.n_rows == "3" for r in v if r["mode"] == "snapshot_resync")
-    main(["backtest", str(folder / "data"), "--levels", "2", "--symbol", "ABC", "--latency-us", "0", "500"])
-    assert "total_pnl" in capsys.readouterr().out
+    (folder / "specs.json").write_text('[{"entry_z": 3, "passive_entry": false}]')
+    main(["simulate", str(folder / "data"), "--levels", "2", "--symbols", "ABC", "--spec", "latency_us=0", "--spec", "label=slow latency_us=900", "--specs", str(folder / "specs.json")])
+    out = capsys.readouterr().out
+    assert "total_pnl" in out and all(x in out for x in ("latency_us=0.0", "slow", "entry_z=3.0 passive_entry=False"))
+    with pytest.raises(ValueError, match="no such field"):
+        spec_of({"nothing": "1"})
 
 
 def test_live_fills_equal_a_run(spark, tmp_path):

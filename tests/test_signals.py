@@ -6,14 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.metrics import curve_metrics
+from tidemark.functions.metrics import curve_metrics, describe
 from tidemark.functions.research import predictive_table, regression
 from tidemark.functions.signals import bucket_ofi, event_signals
 from tidemark.functions.windows import numbered
 from tidemark.operators.asof import asof_join
-from tidemark.operators.backtest import OfiStrategy, RunSpec, max_drawdown, sharpe_ratio
+from tidemark.operators.backtest import Curve, FlowSignal
 from tidemark.operators.depth import features_from_depth, seeds, walk
-from tidemark.operators.orders import closing_levels, level_changes, lifecycle, queue_positions
+from tidemark.operators import orders
+from tidemark.operators.orders import closing_levels, level_changes, lifecycle, message_features, queue_positions
 from tidemark.operators.replay import MODES, explain_row, replay, replay_stats, validate
 from tidemark.schema import NO_ASK, NO_BID
 
@@ -39,11 +40,11 @@ def test_event_signals_in_blocks(spark, block):
     rows, df = features(spark, 60, 3, ("A",))
     got = {r.seq: r for r in event_signals(df, [4], [3], [(3, 6)], block=block).collect()}
     assert len(got) == 60
-    strategy = OfiStrategy(RunSpec(window_events=3, zscore_window=6))
+    signal = FlowSignal(3, 6)
     for i, r in enumerate(rows):
-        strategy._signal(r[5])
+        signal.take(r[5], i + 1)
         x = got[r[2]]
-        assert x.z_3_6 == pytest.approx(strategy.z, abs=1e-9)
+        assert x.z_3_6 == pytest.approx(signal.z, abs=1e-9)
         assert x.ofi_w4 == (sum(y[5] for y in rows[i - 3 : i + 1]) if i >= 3 else None)
         ahead = rows[i + 3][4] if i + 3 < 60 else None
         assert x.fwd_3 == (pytest.approx((ahead - r[4]) * 100) if ahead is not None and r[4] is not None else None)
@@ -103,7 +104,10 @@ def test_curve_metrics(spark, block):
     got = {r.run: r for r in curve_metrics(spark.createDataFrame(rows, "run string, t bigint, id bigint, e double"), ["run"], "t", "id", "e", 10.0, block).collect()}
     for k, c in curves.items():
         assert got[k].n_samples == len(c) and got[k].total_pnl == c[-1]
-        assert got[k].max_drawdown == pytest.approx(max_drawdown(c)) and got[k].sharpe == pytest.approx(sharpe_ratio(c, 10.0))
+        curve = Curve()
+        for e in c:
+            curve.add(e, 1)
+        assert got[k].max_drawdown == pytest.approx(curve.fall) and got[k].sharpe == pytest.approx(curve.sharpe(10.0))
 
 
 DEPTH = "symbol string, trade_date string, seq bigint, ts_ns bigint, " + ", ".join(f"{s}_{w}_{j} {'bigint' if w == 'px' else 'int'}" for j in (1, 2) for s in ("ask", "bid") for w in ("px", "sz"))
@@ -139,7 +143,7 @@ def random_feed(spark, n=400, seed=1):
 def test_sets_equal_the_scan(spark, page):
     _, feed = random_feed(spark)
     scan = {(r.symbol, r.seq): (r.best_bid, r.bid_qty, r.best_ask, r.ask_qty, [(x.px, x.sz) for x in r.asks if x.sz], [(x.px, x.sz) for x in r.bids if x.sz]) for r in replay(feed, depth_k=9).collect()}
-    changes = sorted(level_changes(feed, 400, page).collect(), key=lambda r: r.seq)
+    changes = sorted(level_changes(feed, page).collect(), key=lambda r: r.seq)
     levels: dict = {}
     by_seq: dict = {}
     for r in changes:
@@ -150,10 +154,40 @@ def test_sets_equal_the_scan(spark, page):
         live = {side: sorted(((p, q) for (s, d, p), q in levels.items() if s == key[0] and d == side and q > 0), key=lambda x: -side * x[0]) for side in (1, -1)}
         assert scan[key][4] == live[-1] and scan[key][5] == live[1]
     end = max(k for k in scan if k[0] == "A")
-    closing = [(r.side, r.px, r.qty) for r in closing_levels(feed, 400, page).where("symbol = 'A'").orderBy("side", "level").collect()]
+    closing = [(r.side, r.px, r.qty) for r in closing_levels(feed, page).where("symbol = 'A'").orderBy("side", "level").collect()]
     assert closing == [(-1, p, q) for p, q in scan[end][4]] + [(1, p, q) for p, q in scan[end][5]]
-    rest = {(r.symbol, r.order_id): r.remaining for r in lifecycle(feed, 400, page).where("remaining > 0").collect()}
-    assert rest == {(r.symbol, r.order_id): r.remaining for r in queue_positions(feed, 400, page).collect()}
+    rest = {(r.symbol, r.order_id): r.remaining for r in lifecycle(feed, page).where("remaining > 0").collect()}
+    assert rest == {(r.symbol, r.order_id): r.remaining for r in queue_positions(feed, page).collect()}
+
+
+@pytest.mark.parametrize("stretch,page", [(7, 5), (50, 64), (65_536, 64)])
+def test_features_in_sets_equal_the_scan(spark, monkeypatch, stretch, page):
+    monkeypatch.setattr(orders, "STRETCH", stretch)
+    _, feed = random_feed(spark, 200, 5)
+    feed = feed.withColumn("ts_ns", F.when(F.col("seq") % 9 > 1, F.col("ts_ns"))).where("seq % 11 <> 3").unionByName(feed.where("symbol = 'A' AND seq < 2").withColumn("symbol", F.lit("C")))
+    scan = replay(feed)
+    got = message_features(feed, page).select(*scan.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scan.collect()))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert message_features(feed.limit(0), page).count() == 0
+
+
+def test_describe(spark):
+    rnd = random.Random(3)
+    data = {"a": [rnd.choice((0.0, -1.5, 2.0, 1e9, -1e-9, 7.25)) for _ in range(101)], "b": [5.0], "c": [rnd.gauss(0, 100) for _ in range(500)], "d": []}
+    rows = [(k, x) for k, v in data.items() for x in [*v, None]]
+    got = {r.k: r for r in describe(spark.createDataFrame(rows, "k string, x double").repartition(7), ["k"], "x").collect()}
+    for k, v in data.items():
+        assert got[k].n == len(v)
+        if v:
+            s = sorted(v)
+            for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+                at = q * (len(s) - 1)
+                low, high = s[int(at)], s[min(int(at) + 1, len(s) - 1)]
+                assert got[k][name] == pytest.approx(low + (high - low) * (at - int(at)))
+            assert (got[k].min, got[k].max) == (s[0], s[-1])
+        else:
+            assert got[k].q50 is None and got[k].mean is None
 
 
 def test_replay_modes_and_counters(spark):

@@ -1,57 +1,86 @@
-"""Command line: ``python -m tidemark convert|validate|backtest ...``."""
+"""Command line: ``python -m tidemark store | check | simulate``.
+
+A simulation is described by specs, one per run: ``--spec "entry_z=2.5 cancel_assumption=Optimistic"`` gives the fields that differ from the defaults of
+``RunSpec``, ``--specs FILE`` reads a JSON list of such objects. All specs run in one scan of each session.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
+from dataclasses import fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators.backtest import OPTIMISTIC, PESSIMISTIC, PRO_RATA, RunSpec, backtest
-from .operators.replay import validate
+from .operators.backtest import OUTPUTS, RunSpec, backtest
+from .operators.replay import MODES, validate
 from .sources import feeds
 
+_KINDS = {f.name: type(getattr(RunSpec(), f.name)) for f in fields(RunSpec)}
+
+
+def spec_of(values: dict[str, object]) -> RunSpec:
+    """A run from field names and values, given as text or as themselves; what it is labelled with unless it has a label."""
+    if unknown := values.keys() - _KINDS.keys():
+        raise ValueError(f"no such field of a run: {', '.join(sorted(unknown))}")
+    typed = {k: str(v).lower() in ("1", "true", "yes") if _KINDS[k] is bool else _KINDS[k](v) for k, v in values.items()}
+    return RunSpec(**{"label": " ".join(f"{k}={v}" for k, v in typed.items()), **typed})
+
+
+def specs_of(texts: list[str], file: str | None) -> list[RunSpec]:
+    listed = [dict(part.split("=", 1) for part in text.split()) for text in texts]
+    if file:
+        with open(file) as f:
+            listed += json.load(f)
+    return [spec_of(x) for x in listed or [{}]]
+
+
+def store(spark: SparkSession, a: argparse.Namespace) -> None:
+    feeds.convert(feeds.find_days(spark, a.source), a.data, a.levels, a.replace)
+
+
+def check(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return validate(*_tables(spark, a), a.levels, a.mode or MODES)
+
+
+def simulate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return backtest(*_tables(spark, a, specs_of(a.spec, a.specs)), a.levels, not a.seed_only, a.result)
+
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tidemark")
-    sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("convert", help="CSV pairs to Parquet")
-    c.add_argument("raw")
-    c.add_argument("data")
-    c.add_argument("--levels", type=int, default=10)
-    c.add_argument("--force", action="store_true")
-    v = sub.add_parser("validate", help="replays against recorded depth, in all modes")
-    b = sub.add_parser("backtest", help="the order-flow strategy over every stored session")
-    for x in (v, b):
-        x.add_argument("data")
-        x.add_argument("--levels", type=int, default=10)
-        x.add_argument("--symbol")
-        x.add_argument("--out", help="write to this path (.csv or Parquet) instead of showing")
-    b.add_argument("--latency-us", type=float, nargs="+", default=[500.0])
-    b.add_argument("--aggressive", action="store_true")
-    b.add_argument("--entry-z", type=float, default=2.0)
-    b.add_argument("--qty", type=int, default=100)
-    b.add_argument("--cancel", choices=(PESSIMISTIC, PRO_RATA, OPTIMISTIC), default=PRO_RATA)
-    b.add_argument("--no-snapshot", action="store_true")
-    return p
+def _tables(spark: SparkSession, a: argparse.Namespace, *between: object) -> list:
+    both = [load(spark, a.data, a.levels) for load in (feeds.load_messages, feeds.load_depth)]
+    if a.symbols:
+        both = [t.where(F.col("symbol").isin(a.symbols)) for t in both]
+    return [both[0], *between, both[1]]
 
 
 def main(argv: list[str] | None = None) -> None:
-    a = parser().parse_args(argv)
+    p = argparse.ArgumentParser(prog="tidemark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = p.add_subparsers(required=True)
+    for do, about in ((store, "put pairs of CSV files into Parquet"), (check, "compare replays with the recorded depth"), (simulate, "run strategies over stored sessions")):
+        c = commands.add_parser(do.__name__, help=about)
+        c.set_defaults(do=do)
+        if do is store:
+            c.add_argument("source")
+            c.add_argument("--replace", action="store_true", help="write days again that are stored already")
+        c.add_argument("data")
+        c.add_argument("--levels", type=int, default=10)
+        if do is not store:
+            c.add_argument("--symbols", nargs="+")
+            c.add_argument("--to", help="a path to write to, CSV if it ends so, else Parquet")
+        if do is check:
+            c.add_argument("--mode", action="append", choices=MODES)
+        if do is simulate:
+            c.add_argument("--spec", action="append", default=[], metavar="FIELDS")
+            c.add_argument("--specs", metavar="FILE")
+            c.add_argument("--result", choices=sorted(OUTPUTS), default="metrics")
+            c.add_argument("--seed-only", action="store_true", help="no resync after the first book")
+    a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if a.command == "convert":
-        feeds.convert(feeds.find_days(spark, a.raw), a.data, a.levels, a.force)
-        return
-    messages, depth = feeds.load_messages(spark, a.data, a.levels), feeds.load_depth(spark, a.data, a.levels)
-    if a.symbol:
-        messages, depth = messages.where(messages.symbol == a.symbol), depth.where(depth.symbol == a.symbol)
-    if a.command == "validate":
-        out = validate(messages, depth, a.levels)
-    else:
-        specs = [
-            RunSpec(label=f"lat{x:g}us", latency_us=x, passive_entry=not a.aggressive, entry_z=a.entry_z, order_qty=a.qty, max_position=a.qty, cancel_assumption=a.cancel) for x in a.latency_us
-        ]
-        out = backtest(messages, specs, depth, a.levels, not a.no_snapshot)
-    feeds.save(out, a.out) if a.out else out.show(1000, truncate=False)
+    out = a.do(spark, a)
+    if out is not None:
+        feeds.save(out, a.to) if a.to else out.show(1000, truncate=False)
 
 
 if __name__ == "__main__":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import research
-from ..functions.metrics import curve_metrics, fee, fill_totals
+from ..functions.metrics import curve_metrics, describe, fee, fill_totals
 from ..functions.signals import SESSION, bucket_ofi, clean_features, event_signals, mid_price, queue_imbalance, spread_ticks
 from ..operators import backtest as bt
 from ..operators import depth as dp
@@ -107,11 +107,7 @@ _DESCRIBED = ("spread_ticks", "bid_qty", "ask_qty", "ofi_e")
 def describe_features(spark: SparkSession, d: str) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in _DESCRIBED])
     long = _features(spark, d).select("symbol", F.explode(cells).alias("c")).select("symbol", "c.*")
-    q = lambda p: F.round(F.expr(f"percentile(x, {p})"), ROUND)
-    return long.groupBy("symbol", "name").agg(
-        F.count("x").alias("n"), F.round(F.avg("x"), ROUND).alias("mean"), F.round(F.stddev_samp("x"), ROUND).alias("std"), F.min("x").alias("min"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("x").alias("max"),
-    )
+    return describe(long, ["symbol", "name"], "x").select("symbol", "name", "n", *[F.round(c, ROUND).alias(c) for c in ("mean", "std")], "min", *[F.round(c, ROUND).alias(c) for c in ("q25", "q50", "q75")], "max")
 
 
 # --- orders and levels, in sets
@@ -401,11 +397,10 @@ def fee_schedule(spark: SparkSession, d: str) -> DataFrame:
     return f.select("fill_id", F.round(fee(F.col("passive") == 1, F.col("qty"), F.col("price")), ROUND).alias("fee_due"), F.round(F.col("price") / 10000.0, 4).alias("price_usd")).distinct()
 
 
-@query("""SELECT run_id, sum(side * qty)::BIGINT AS position, round(sum(-side * qty * price / 10000.0 - coalesce(fee, 0)) + 0.0000013, 4) AS cash, round(sum(coalesce(fee, 0)) + 0.0000013, 4) AS fees, sum(qty)::BIGINT AS volume,
-  count(*) AS n_fills, count(*) FILTER (passive = 1) AS n_passive, count(*) FILTER (passive = 0) AS n_aggressive FROM (SELECT DISTINCT * FROM fills) GROUP BY run_id""")
+@query("""SELECT run_id, sum(side * qty)::BIGINT AS position, round((sum(-side * qty * price) * 100 - sum(micro)) / 1000000, 4) AS cash, round(sum(micro) / 1000000, 4) AS fees, sum(qty)::BIGINT AS volume,
+  count(*) AS n_fills, count(*) FILTER (passive = 1) AS n_passive, count(*) FILTER (passive = 0) AS n_aggressive FROM (SELECT DISTINCT *, round(coalesce(fee, 0) * 1000000)::BIGINT AS micro FROM fills) GROUP BY run_id""")
 def run_totals(spark: SparkSession, d: str) -> DataFrame:
-    """With the shift of ``portfolio_ledger`` before rounding."""
-    return fill_totals(table(spark, d, "fills"), ["run_id"]).withColumns({c: F.round(F.col(c) + 0.0000013, 4) for c in ("cash", "fees")})
+    return fill_totals(table(spark, d, "fills"), ["run_id"]).withColumns({c: F.round(c, 4) for c in ("cash", "fees")})
 
 
 @query("""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, fill_id) AS k FROM (SELECT DISTINCT run_id, fill_id, ts, side, price / 10000.0 AS px, qty, coalesce(fee, 0) AS fee FROM fills WHERE ts IS NOT NULL)),
@@ -414,10 +409,11 @@ w AS (SELECT run_id, k, fill_id, ts, (side * qty)::BIGINT AS pos, 0.0::DOUBLE AS
     CASE WHEN w.pos * f.side < 0 THEN w.realized + least(f.qty, abs(w.pos)) * (f.px - w.cost) * -f.side ELSE w.realized END,
     CASE WHEN w.pos * f.side >= 0 THEN (w.cost * abs(w.pos) + f.px * f.qty) / (abs(w.pos) + f.qty) WHEN f.qty > abs(w.pos) THEN f.px WHEN f.qty = abs(w.pos) THEN 0 ELSE w.cost END
   FROM w JOIN f ON f.run_id = w.run_id AND f.k = w.k + 1)
-SELECT run_id, fill_id, ts, pos AS position, round(realized + 0.0000013, 3) AS realized, round(cost + 0.0000013, 4) AS avg_cost FROM w""")
+SELECT run_id, fill_id, ts, pos AS position, floor(realized * 1000 + 0.5)::BIGINT AS realized_milli, floor(cost * 10000 + 0.5)::BIGINT AS avg_cost_units FROM w""")
 def portfolio_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """The small shift keeps exact halves, which both engines may round either way, off the rounding edge."""
-    return bt.ledger(table(spark, d, "fills")).select("run_id", "fill_id", "ts", "position", F.round(F.col("realized") + 0.0000013, 3).alias("realized"), F.round(F.col("avg_cost") + 0.0000013, 4).alias("avg_cost"))
+    """In whole thousandths and price units, rounded by one floor, so that both engines round alike."""
+    whole = lambda c, n: F.floor(F.col(c) * n + 0.5).cast("bigint")
+    return bt.ledger(table(spark, d, "fills")).select("run_id", "fill_id", "ts", "position", whole("realized", 1000).alias("realized_milli"), whole("avg_cost", 10_000).alias("avg_cost_units"))
 
 
 @query("""WITH s AS (SELECT DISTINCT run_id, sample_ts AS t, sample_id AS o, equity AS e FROM equity_samples WHERE sample_ts IS NOT NULL AND equity IS NOT NULL),

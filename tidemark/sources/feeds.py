@@ -100,13 +100,18 @@ def _stored_days(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select("symbol", "trade_date").distinct()
 
 
-def convert(days: DataFrame, out: str, levels: int, force: bool = False) -> None:
-    """Write messages and depth as Parquet, partitioned by symbol and date. Day by day and table by table, what exists is kept, or replaced with ``force``; other days stay."""
+def convert(days: DataFrame, out: str, levels: int, force: bool = False, row_group_bytes: int = 64 << 20) -> None:
+    """Write messages and depth as Parquet, partitioned by symbol and date. Day by day and table by table, what exists is kept, or replaced with ``force``; other days stay.
+
+    row_group_bytes: at most so many bytes in a row group, the unit that a later scan is divided into. The number of levels is kept as metadata of every depth column.
+    """
     spark, own = days.sparkSession, days.where(F.col("levels") == levels)
     for name, read in (("messages", read_messages), ("depth", lambda d: read_depth(d, levels))):
         path = f"{out}/{name}_{levels}"
         new = own if force else own.join(_stored_days(spark, path), ["symbol", "trade_date"], "left_anti")
-        how = read(new).write.option("compression", "snappy").partitionBy("symbol", "trade_date")
+        rows = read(new)
+        rows = rows.select(*[F.col(c).alias(c, metadata={"levels": levels}) if "_px_" in c or "_sz_" in c else F.col(c) for c in rows.columns])
+        how = rows.write.option("compression", "snappy").option("parquet.block.size", row_group_bytes).partitionBy("symbol", "trade_date")
         (how.mode("overwrite").option("partitionOverwriteMode", "dynamic") if force else how.mode("append")).parquet(path)
 
 

@@ -57,25 +57,34 @@ def live_features(messages: DataFrame, purge: bool = False) -> DataFrame:
 FILLS = "symbol string, trade_date string, ts bigint, order_id bigint, side int, price bigint, qty bigint, passive boolean, fee double"
 
 
-def live_fills(messages: DataFrame, spec: RunSpec, make: Callable[[RunSpec], Strategy] = OfiStrategy) -> DataFrame:
+def live_fills(messages: DataFrame, spec: RunSpec, make: Callable[[RunSpec], Strategy] = OfiStrategy, idle_ms: int | None = None) -> DataFrame:
     """Fills of a strategy run live on a stream of messages (paper trading): the state of a session is its whole ``Backtest``.
 
     Order and late messages as in ``live_features``. Positions are flattened by the spec's end time, as history's messages pass it; a
-    session whose messages stop earlier stays open.
+    session whose messages stop earlier stays open, or with ``idle_ms`` is finished and forgotten when none has come for so long: timers that are still due go off, what is
+    held is closed. What a run has given out isn't kept in its state.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, last, clock = pickle.loads(state.get[0]) if state.exists else (Backtest(spec, make(spec)), -1, 0)
+        if state.hasTimedOut:
+            run.finish()
+            state.remove()
+            yield pd.DataFrame([(*key, f.ts, f.order_id, f.side, f.price, f.qty, f.passive, f.fee) for f in run.take_fills()], columns=[c.split()[0] for c in FILLS.split(", ")])
+            return
         for seq, m in _ordered(frames, last, clock):
             run.message(m)
             last, clock = seq, m.ts
         out = [(*key, f.ts, f.order_id, f.side, f.price, f.qty, f.passive, f.fee) for f in run.take_fills()]
         run.stretches.clear()
         state.update((pickle.dumps((run, last, clock)),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in FILLS.split(", ")])
 
     ship(messages.sparkSession)
-    return messages.groupBy(*SESSION).applyInPandasWithState(step, FILLS, "run binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return messages.groupBy(*SESSION).applyInPandasWithState(step, FILLS, "run binary", "append", timeout)
 
 
 def live_buckets(features: DataFrame, bucket: str = "10 seconds", delay: str = "1 minute") -> DataFrame:
