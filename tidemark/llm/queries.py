@@ -44,6 +44,24 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What every packing must keep to, counted: documents that are missing, come in a wrong number of pieces or with tokens missing or doubled, containers that are overfull or of an unknown kind."""
+    docs, specs = table(spark, d, "documents"), table(spark, d, "container_specs")
+    packed = materialize(p7_packed(spark, d))
+    top = specs.agg(F.max("capacity_tokens")).first()[0]
+    sizes = token_counts(docs, "doc_id", "text")
+    got = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("token_from") + F.col("n_tokens")).alias("end"))
+    want = sizes.join(got, "doc_id", "full").select(F.greatest(F.ceil(F.col("n_tokens") / top), F.lit(1)).alias("due"), "n_tokens", "pieces", "tokens", "end")
+    one = want.agg(
+        F.count("n_tokens").alias("n_docs"), F.count_if(F.col("pieces").isNull() | F.col("n_tokens").isNull()).alias("n_missing"), F.count_if(F.col("pieces") != F.col("due")).alias("n_split_wrong"),
+        F.count_if((F.col("tokens") != F.col("n_tokens")) | (F.col("end") != F.col("n_tokens"))).alias("n_tokens_wrong"),
+    )
+    bins = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.max("capacity_tokens").alias("room"), F.countDistinct("spec_id", "capacity_tokens").alias("kinds"))
+    known = packed.select("spec_id", "capacity_tokens").distinct().join(specs.select("spec_id", "capacity_tokens"), ["spec_id", "capacity_tokens"], "left_anti").count()
+    two = bins.agg(F.count_if((F.col("used") > F.col("room")) | (F.col("kinds") > 1)).alias("n_overfull")).first()[0]
+    return one.withColumns({"n_overfull": F.lit(two).cast("bigint"), "n_unknown_kinds": F.lit(known).cast("bigint")})
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -77,7 +95,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("top_word", "top_pair", "same_lines")])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p7_packed, p7_fill, p8_found, p8_report, p9_found, p9_measures, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p7_packed, p7_fill, p7_invariants, p8_found, p8_report, p9_found, p9_measures, p9_shares)}
 
 _P3 = """s AS (SELECT run_id, sample_ts, min(sample_id) AS sample_id FROM equity_samples WHERE sample_ts IS NOT NULL AND sample_mid IS NOT NULL AND run_id IS NOT NULL GROUP BY ALL),
 f AS (SELECT DISTINCT run_id, ts, fill_id FROM fills),
@@ -96,6 +114,7 @@ b AS (SELECT doc_id, max(c) AS top2 FROM (SELECT doc_id, count(*) AS c FROM w WH
 l AS (SELECT doc_id, count(*) AS k, count(DISTINCT r) AS d FROM (SELECT doc_id, regexp_extract(unnest(string_split(s, chr(10))), '(?s)(?:{_P9_WORD}|\\x01).*') AS r FROM t) WHERE r <> '' GROUP BY doc_id)"""
 
 ORACLES = {
+    "p7_invariants": "SELECT count(*) AS n_docs, 0 AS n_missing, 0 AS n_split_wrong, 0 AS n_tokens_wrong, 0 AS n_overfull, 0 AS n_unknown_kinds FROM documents",
     "p9_shares": f"""WITH {_P9} SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(round((top - 1) / n, 6), 0) AS top_word, coalesce(round(2 * (top2 - 1) / n, 6), 0) AS top_pair,
   coalesce(round((k - d) / k, 6), 0) AS same_lines FROM t LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "p3_found": f"WITH {_P3} SELECT fill_id, sample_id FROM c WHERE k = 1 AND sample_id IS NOT NULL",
