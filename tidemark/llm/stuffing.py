@@ -154,7 +154,7 @@ def counts(texts: list[str | None], function: list[np.ndarray], markup: bool = T
             whole.setdefault(int(p.doc[0]), {})
         data, w = p.data, Words(p)
         add("n_words", w.doc)
-        add("visible", p.doc_of(np.flatnonzero(data > 32)))
+        out["visible"][p.doc] += np.add.reduceat(data > 32, p.at, dtype=np.int64)
         # signs after the first word or link of their line
         newline = data == 10
         line = np.cumsum(newline) - newline

@@ -61,7 +61,9 @@ class Piece(NamedTuple):
     at: np.ndarray
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
-        return self.doc[np.searchsorted(self.at, positions, "right") - 1]
+        if len(self.doc) == 1:
+            return np.full(len(positions), self.doc[0])
+        return np.repeat(self.doc, np.diff(np.append(self.at, len(self.data))))[positions]
 
 
 def pieces(texts: Iterable[bytes | None], joint: np.ndarray, overlap: int = 0, chunk: int = CHUNK) -> Iterator[Piece]:
