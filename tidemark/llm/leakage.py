@@ -155,13 +155,15 @@ class Index(Texts):
         span = run - TERM + 1
         for k, (a, b) in enumerate(zip(self.first[:-1], self.first[1:])):
             t, x = term[a : b - TERM + 1], impact[a : b - TERM + 1]
-            last: dict[int, int] = {}
             again = np.zeros(len(t), np.int64)  # how far back the same term stands, 0 for nowhere
-            for p, y in enumerate(t.tolist()):
-                again[p] = p - last.get(y, p)
-                last[y] = p
-            fresh = [np.where((again[j : j + len(t) - span + 1] == 0) | (again[j : j + len(t) - span + 1] > j), x[j : j + len(t) - span + 1], 0) for j in range(span)]
-            self.threshold[k] = np.sum(fresh, 0).min()
+            if len(np.unique(t)) < len(t):
+                last: dict[int, int] = {}
+                for p, y in enumerate(t.tolist()):
+                    again[p] = p - last.get(y, p)
+                    last[y] = p
+            fresh = np.lib.stride_tricks.sliding_window_view(again, span)
+            weight = np.lib.stride_tricks.sliding_window_view(x, span)
+            self.threshold[k] = np.where((fresh == 0) | (fresh > np.arange(span)), weight, 0).sum(1).min()
         self.least = int(self.threshold.min()) if n else 0
         blocks = -(-len(self.ids) // BLOCK)
         self.block_least = np.array([self.threshold[k * BLOCK : (k + 1) * BLOCK].min() for k in range(blocks)], np.int64)
