@@ -2,8 +2,9 @@
 
 Rows are unpivoted to (key, field, value) cells with a sign, + for one side and - for the other, and
 a presence marker per key; what doesn't cancel in its group differs. Exact repeats are merged first, on the map side of
-the exchange that brings them together, so that a key of very many copies is one row per map task. Rows are then placed by key once, still wide;
-unpivoting and both groupings need no further exchange.
+the exchange that brings them together, so that a key of very many copies is one row per map task. Rows are then placed by key once, still wide.
+Where both sides hold the same rows of a key, all its cells cancel, and the key is let go as a whole; only what is left is unpivoted.
+None of this needs a further exchange.
 """
 
 from __future__ import annotations
@@ -19,10 +20,16 @@ MARK = -1  # field number of the presence marker
 BLOCK = 64  # snapshots of a period whose comparisons are placed together
 
 
+def _sides(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Equal rows of both signs as one, with ``__plus`` and ``__minus``: whether a side holds it."""
+    has = lambda sign: F.max(F.when(F.col("__sign") == sign, 1).otherwise(0))
+    return df.groupBy(*by).agg(has(1).alias("__plus"), has(-1).alias("__minus"))
+
+
 def uncancelled(placed: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Keys whose cells don't cancel: keys, ``side`` (1 only on the plus side, -1 only on the minus side, 0 both), ``fields``.
 
-    placed: keys, ``__sign`` (+1 / -1) and the fields, all of one type or castable to string, already placed by the keys or some of them. A cell (key,
+    placed: keys and fields as of ``_sides``, the fields all of one type or castable to string, already placed by the keys or some of them. A cell (key,
     field, value) cancels if it occurs on both sides, however often; so repeats don't count. NULL equals NULL, in
     keys and values. ``fields``: the sorted names of the differing fields, empty where ``side`` isn't 0.
     """
@@ -31,11 +38,11 @@ def uncancelled(placed: DataFrame, keys: Sequence[str], fields: Sequence[str]) -
     cell = lambda i, v: F.struct(F.lit(i).alias("field"), v.alias("value"))
     value = lambda c: F.col(c).cast("bigint" if whole else "string")
     marks = F.array(cell(MARK, F.lit(None).cast("bigint" if whole else "string")), *[cell(i, value(c)) for i, c in enumerate(fields)])
+    open_ = placed.withColumn("__both", F.min(F.least("__plus", "__minus")).over(Window.partitionBy(*keys))).where("__both = 0")
     cells = (
-        placed.select(*keys, "__sign", F.explode(marks).alias("__cell"))
+        open_.select(*keys, "__plus", "__minus", F.explode(marks).alias("__cell"))
         .groupBy(*keys, F.col("__cell.field").alias("__field"), F.col("__cell.value").alias("__value"))
-        .agg(F.max(F.when(F.col("__sign") > 0, 1).otherwise(0)).alias("__plus"), F.max(F.when(F.col("__sign") < 0, 1).otherwise(0)).alias("__minus"))
-        .withColumn("__net", F.col("__plus") - F.col("__minus"))
+        .agg((F.max("__plus") - F.max("__minus")).alias("__net"))
         .where("__net <> 0")
     )
     side = F.coalesce(F.max(F.when(F.col("__field") == MARK, F.col("__net"))), F.lit(0))
@@ -55,8 +62,8 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     Empty copies are fine; columns other than keys and fields aren't compared.
     """
     part = lambda df, sign: df.select(*keys, F.lit(sign).alias("__sign"), *[e.alias(c) for c, e in fields.items()])
-    signed = part(left, 1).unionByName(part(right, -1)).distinct().repartition(*[F.col(c) for c in keys])
-    found = uncancelled(signed, keys, list(fields))
+    merged = _sides(part(left, 1).unionByName(part(right, -1)), [*keys, *fields])
+    found = uncancelled(merged.repartition(*[F.col(c) for c in keys]), keys, list(fields))
     label = F.when(F.col("side") > 0, F.array(F.lit(only_left))).when(F.col("side") < 0, F.array(F.lit(only_right))).otherwise(F.col("fields"))
     return found.select(*keys, F.explode(label).alias("diff"))
 
@@ -97,7 +104,7 @@ def snapshot_changes(snaps: DataFrame, period: Sequence[str], number: str, keys:
         F.struct(F.when(nxt == F.col("__block"), F.col("__next")).alias("cmp"), F.lit(-1).alias("s")),
     )
     signed = placed.withColumn("__x", F.explode(twice)).where("__x.cmp IS NOT NULL").select(*place, F.col("__x.cmp").alias("__cmp"), F.col("__x.s").alias("__sign"), *names)
-    found = uncancelled(signed, [*place, "__cmp"], names)
+    found = uncancelled(_sides(signed, [*place, "__cmp", *names]), [*place, "__cmp"], names)
     change = F.when(F.col("side") > 0, "added").when(F.col("side") < 0, "removed").otherwise("changed")
     real = F.array(*[F.lit(c) for c in fields])
     return found.select(
