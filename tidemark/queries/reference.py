@@ -511,9 +511,9 @@ def backtest_ofi(spark: SparkSession, d: str) -> DataFrame:
     return bt.backtest(_feed(spark, d), [_BASE, bt.replace(_BASE, passive_entry=False)], _depth(spark, d))
 
 
-@query()
+@query(book_sql.fills_sql(_FEED, [_BASE]))
 def backtest_fills(spark: SparkSession, d: str) -> DataFrame:
-    return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="fills")
+    return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="fills").withColumn("fee", F.round("fee", ROUND))
 
 
 @query()
