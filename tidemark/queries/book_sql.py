@@ -158,7 +158,8 @@ t3 AS (SELECT t2.*, m.seq, m.clock, m.type AS m_type, m.size::BIGINT AS m_size,
   FROM t2 JOIN m USING (symbol, trade_date, k)),
 t4 AS (SELECT symbol, trade_date, k, row_number() OVER u AS n, sum(ofi) OVER (u ROWS BETWEEN {we - 1} PRECEDING AND CURRENT ROW) AS flow FROM t3 WHERE counts WINDOW u AS (PARTITION BY symbol, trade_date ORDER BY k)),
 t5 AS (SELECT *, sum(flow) OVER u / {wz} AS mean, sum(flow * flow) OVER u / {wz} AS sq FROM t4 WINDOW u AS (PARTITION BY symbol, trade_date ORDER BY k ROWS BETWEEN {wz - 1} PRECEDING AND CURRENT ROW)),
-ev AS (SELECT t3.*, coalesce(CASE WHEN n >= {max(we, wz)} AND sq - mean * mean >= 1e-12 THEN (flow - mean) / sqrt(sq - mean * mean) END, 0)::DOUBLE AS z FROM t3 LEFT JOIN t5 USING (symbol, trade_date, k)),
+bk AS MATERIALIZED (SELECT symbol, trade_date, k, book, pb, pa FROM t0),
+ev AS MATERIALIZED (SELECT symbol, trade_date, k, clock, m_type, m_size, m_price, m_side, shown, pb, pa, coalesce(CASE WHEN n >= {max(we, wz)} AND sq - mean * mean >= 1e-12 THEN (flow - mean) / sqrt(sq - mean * mean) END, 0)::DOUBLE AS z FROM t3 LEFT JOIN t5 USING (symbol, trade_date, k)),
 sp(spec_id, lat, passive_entry, entry_z, exit_z, order_qty, cap, ttl, hold, cool, cancels) AS (VALUES {rows}),
 w AS (SELECT spec_id, symbol, trade_date, 0::BIGINT AS step, max(st)::BIGINT AS k, max(k)::BIGINT AS last, {START}::BIGINT AS now, []::{order} AS orders, 0::BIGINT AS nid, 0::BIGINT AS ord, false AS leaving, 0::BIGINT AS entered, {START}::BIGINT AS acted,
     0::BIGINT AS pos, false AS closing, false AS done, []::{fill} AS fills, 0::BIGINT AS sent, 0::BIGINT AS refused, 0::BIGINT AS dropped FROM m, sp GROUP BY spec_id, symbol, trade_date
@@ -197,13 +198,60 @@ w AS (SELECT spec_id, symbol, trade_date, 0::BIGINT AS step, max(st)::BIGINT AS
    SELECT *, [o FOR o IN orders IF NOT o.live AND o.arr = due][1] AS arr, CASE WHEN clock IS NULL AND NOT closing THEN 'shut' WHEN due IS NOT NULL AND due < coalesce(clock, 9223372036854775807) THEN CASE WHEN len([o FOR o IN orders IF NOT o.live AND o.arr = due]) > 0 THEN 'arrive' ELSE 'cancel' END
        WHEN clock IS NOT NULL THEN 'message' ELSE 'end' END AS what FROM (
    SELECT w.* EXCLUDE (fills), sp.* EXCLUDE (spec_id), nx.clock, nx.m_type, nx.m_size, nx.m_price, nx.m_side, nx.shown, nx.z, nx.pb, nx.pa, cu.book, cu.pb AS cpb, cu.pa AS cpa, {due.replace('orders', 'w.orders')} AS due
-   FROM w JOIN sp USING (spec_id) LEFT JOIN ev nx ON nx.symbol = w.symbol AND nx.trade_date = w.trade_date AND nx.k = w.k + 1 LEFT JOIN t0 cu ON cu.symbol = w.symbol AND cu.trade_date = w.trade_date AND cu.k = w.k
+   FROM w JOIN sp USING (spec_id) LEFT JOIN ev nx ON nx.symbol = w.symbol AND nx.trade_date = w.trade_date AND nx.k = w.k + 1 LEFT JOIN bk cu ON cu.symbol = w.symbol AND cu.trade_date = w.trade_date AND cu.k = w.k
    WHERE NOT w.done AND (w.k < w.last OR NOT w.closing OR len(w.orders) > 0 OR w.pos <> 0))))))))))))))))))"""
 
 
-def fills_sql(feed: str, specs: list) -> str:
+def _label(specs: list) -> str:
+    return "CASE spec_id " + " ".join(f"WHEN {i} THEN '{x.label or i}'" for i, x in enumerate(specs)) + " END AS label"
+
+
+def _account(feed: str, specs: list, levels: int = 3) -> str:
+    """After ``backtest_steps``: fl has the fills in order with their fees, cum what they add up to, sa the equity at every second."""
     fee = " ".join(f"WHEN {i} THEN CASE WHEN f.passive THEN {x.maker_fee}::DOUBLE ELSE {x.taker_fee}::DOUBLE END * f.q" for i, x in enumerate(specs))
-    names = " ".join(f"WHEN {i} THEN '{x.label or i}'" for i, x in enumerate(specs))
-    return f"""WITH RECURSIVE {backtest_steps(feed, specs)}
-SELECT symbol, trade_date, spec_id, CASE spec_id {names} END AS label, f.ts AS ts, f.id AS order_id, f.s AS side, f.p AS price, f.q AS qty, f.passive AS passive, round(CASE spec_id {fee} END, 6) AS fee
-FROM (SELECT symbol, trade_date, spec_id, unnest(fills) AS f FROM w)"""
+    return f"""{backtest_steps(feed, specs, levels)},
+fl AS MATERIALIZED (SELECT spec_id, symbol, trade_date, f.ts AS ts, f.id AS id, f.s AS side, f.p AS price, f.q AS qty, f.passive AS passive, CASE spec_id {fee} END AS fee, row_number() OVER (PARTITION BY spec_id, symbol, trade_date ORDER BY step, i) AS r
+  FROM (SELECT spec_id, symbol, trade_date, step, unnest(fills) AS f, unnest(range(len(fills))) AS i FROM w)),
+cm AS (SELECT *, sum(-side * qty * (price / 10000.0::DOUBLE) - fee) OVER u AS cash, (sum(side * qty) OVER u)::BIGINT AS pos FROM fl WINDOW u AS (PARTITION BY spec_id, symbol, trade_date ORDER BY r)),
+cum AS (SELECT spec_id, symbol, trade_date, ts, arg_max(cash, r) AS cash, arg_max(pos, r) AS pos FROM cm GROUP BY ALL),
+md AS (SELECT symbol, trade_date, since, arg_max(mid, k) FILTER (mid IS NOT NULL) AS mid FROM (
+  SELECT bk.symbol, bk.trade_date, bk.k, CASE WHEN bk.k = coalesce(sd.st, 0) THEN -1 ELSE m.clock END AS since,
+    coalesce(CASE WHEN pb IS NOT NULL AND pa IS NOT NULL THEN (pb + pa) / (2.0::DOUBLE * 10000) ELSE coalesce(pb, pa) / 10000.0::DOUBLE END, 'nan'::DOUBLE) AS mid
+  FROM bk LEFT JOIN sd USING (symbol, trade_date) LEFT JOIN m USING (symbol, trade_date, k) WHERE bk.k >= coalesce(sd.st, 0)) GROUP BY ALL),
+tm AS (SELECT symbol, trade_date, {START} + n * 1000000000 AS t FROM (SELECT DISTINCT symbol, trade_date FROM f), range(0, {(END - START) // 1_000_000_000 + 1}) x(n)),
+mt AS (SELECT symbol, trade_date, t, coalesce(last_value(nullif(mid, 'nan'::DOUBLE) IGNORE NULLS) OVER (PARTITION BY symbol, trade_date ORDER BY t), 0) AS mid
+  FROM (SELECT tm.symbol, tm.trade_date, tm.t, md.mid FROM tm ASOF LEFT JOIN md ON md.symbol = tm.symbol AND md.trade_date = tm.trade_date AND tm.t >= md.since)),
+sm AS (SELECT sp.spec_id, mt.* FROM mt, sp),
+sa AS (SELECT sm.spec_id, sm.symbol, sm.trade_date, sm.t AS ts, coalesce(cum.cash, 0) + coalesce(cum.pos, 0) * sm.mid AS equity, coalesce(cum.pos, 0)::BIGINT AS position, sm.mid
+  FROM sm ASOF LEFT JOIN cum ON cum.spec_id = sm.spec_id AND cum.symbol = sm.symbol AND cum.trade_date = sm.trade_date AND sm.t >= cum.ts)"""
+
+
+def fills_sql(feed: str, specs: list) -> str:
+    return f"""WITH RECURSIVE {_account(feed, specs)}
+SELECT symbol, trade_date, spec_id, {_label(specs)}, ts, id AS order_id, side, price, qty, passive, round(fee, 6) AS fee FROM fl"""
+
+
+def equity_sql(feed: str, specs: list) -> str:
+    return f"""WITH RECURSIVE {_account(feed, specs)}
+SELECT symbol, trade_date, spec_id, {_label(specs)}, ts, round(equity, 6) + 0.0 AS equity, position, round(mid, 6) AS mid FROM sa"""
+
+
+def metrics_sql(feed: str, specs: list, name: str | None = None) -> str:
+    """The metrics of every spec and session; name: a field of the specs that comes out beside them."""
+    value = lambda x: f"'{getattr(x, name)}'" if isinstance(getattr(x, name), str) else f"{float(getattr(x, name))}::DOUBLE"
+    extra = "" if name is None else ", CASE spec_id " + " ".join(f"WHEN {i} THEN {value(x)}" for i, x in enumerate(specs)) + f" END AS {name}"
+    return f"""WITH RECURSIVE {_account(feed, specs)},
+rz AS (SELECT spec_id, symbol, trade_date, r, (side * qty)::BIGINT AS pos, 0.0::DOUBLE AS realized, (price / 10000.0)::DOUBLE AS cost FROM fl WHERE r = 1
+  UNION ALL SELECT fl.spec_id, fl.symbol, fl.trade_date, fl.r, rz.pos + fl.side * fl.qty, CASE WHEN rz.pos * fl.side < 0 THEN rz.realized + least(fl.qty, abs(rz.pos)) * (fl.price / 10000.0 - rz.cost) * -fl.side ELSE rz.realized END,
+    CASE WHEN rz.pos * fl.side >= 0 THEN (rz.cost * abs(rz.pos) + fl.price / 10000.0 * fl.qty) / (abs(rz.pos) + fl.qty) WHEN fl.qty > abs(rz.pos) THEN fl.price / 10000.0 WHEN fl.qty = abs(rz.pos) THEN 0 ELSE rz.cost END
+  FROM rz JOIN fl ON fl.spec_id = rz.spec_id AND fl.symbol = rz.symbol AND fl.trade_date = rz.trade_date AND fl.r = rz.r + 1),
+re AS (SELECT spec_id, symbol, trade_date, arg_max(realized, r) AS realized FROM rz GROUP BY ALL),
+dd AS (SELECT *, equity - lag(equity) OVER u AS chg, greatest(0, max(equity) OVER (u ROWS UNBOUNDED PRECEDING)) - equity AS fall FROM sa WINDOW u AS (PARTITION BY spec_id, symbol, trade_date ORDER BY ts)),
+cv AS (SELECT spec_id, symbol, trade_date, arg_max(equity, ts) AS pnl, max(fall) AS fall, CASE WHEN stddev_samp(chg) > 1e-15 THEN avg(chg) / stddev_samp(chg) * sqrt({(END - START) / 1e9} * 252.0) ELSE 0 END AS sharpe FROM dd GROUP BY ALL),
+fs AS (SELECT spec_id, symbol, trade_date, sum(fee) AS fees, sum(qty)::BIGINT AS volume, count(*) AS n, count(*) FILTER (passive) AS n_passive, count(DISTINCT id) FILTER (id > 0) AS hit, bool_or(id = 0) AS forced FROM fl GROUP BY ALL),
+ws AS (SELECT spec_id, symbol, trade_date, arg_max(sent, step) AS sent, arg_max(refused, step) AS refused, arg_max(dropped, step) AS dropped FROM w GROUP BY ALL)
+SELECT symbol, trade_date, spec_id, {_label(specs)}, round(pnl, 6) + 0.0 AS total_pnl, round(pnl + coalesce(fees, 0), 6) + 0.0 AS gross_pnl, round(coalesce(realized, 0), 6) + 0.0 AS realized_pnl, round(coalesce(fees, 0), 6) + 0.0 AS fees,
+  round(fall, 6) AS max_drawdown, round(sharpe, 4) + 0.0 AS sharpe, coalesce(volume, 0) AS volume, coalesce(n, 0) AS n_fills, sent - refused AS n_orders, coalesce(n_passive, 0) AS n_passive_fills, coalesce(n - n_passive, 0) AS n_aggressive_fills,
+  round(CASE WHEN sent > refused THEN coalesce(hit, 0) / (sent - refused) ELSE 0 END, 6) AS fill_rate, round(CASE WHEN volume > 0 THEN pnl / volume ELSE 0 END, 6) + 0.0 AS pnl_per_share, sent AS orders_submitted, refused AS orders_rejected,
+  dropped AS orders_cancelled, coalesce(forced, false) AS forced_close{extra}
+FROM ws JOIN cv USING (spec_id, symbol, trade_date) LEFT JOIN re USING (spec_id, symbol, trade_date) LEFT JOIN fs USING (spec_id, symbol, trade_date)"""

@@ -506,9 +506,22 @@ def planned_fills(spark: SparkSession, d: str) -> DataFrame:
 _BASE = bt.RunSpec(window_events=20, zscore_window=100, entry_z=1.5, max_hold_s=600, order_ttl_s=60)
 
 
-@query()
+_PAIR = [_BASE, bt.replace(_BASE, passive_entry=False)]
+_LATENCIES, _ENTRIES = (0, 50, 500, 5000, 50000), (2, 2.5, 3, 4)
+
+
+def _swept(name: str, values) -> list[bt.RunSpec]:
+    return [bt.replace(_BASE, **{name: v, "label": f"{name}={v}"}) for v in values]
+
+
+def _rounded(m: DataFrame) -> DataFrame:
+    places = dict.fromkeys(("total_pnl", "gross_pnl", "realized_pnl", "fees", "max_drawdown", "fill_rate", "pnl_per_share"), ROUND) | {"sharpe": 4}
+    return m.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in places.items()})
+
+
+@query(book_sql.metrics_sql(_FEED, _PAIR))
 def backtest_ofi(spark: SparkSession, d: str) -> DataFrame:
-    return bt.backtest(_feed(spark, d), [_BASE, bt.replace(_BASE, passive_entry=False)], _depth(spark, d))
+    return _rounded(bt.backtest(_feed(spark, d), _PAIR, _depth(spark, d)))
 
 
 @query(book_sql.fills_sql(_FEED, [_BASE]))
@@ -516,21 +529,21 @@ def backtest_fills(spark: SparkSession, d: str) -> DataFrame:
     return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="fills").withColumn("fee", F.round("fee", ROUND))
 
 
-@query()
+@query(book_sql.equity_sql(_FEED, [_BASE]))
 def backtest_equity(spark: SparkSession, d: str) -> DataFrame:
-    return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="equity")
+    return bt.backtest(_feed(spark, d), [_BASE], _depth(spark, d), output="equity").withColumns({"equity": F.round("equity", ROUND) + F.lit(0.0), "mid": F.round("mid", ROUND)})
 
 
-@query()
+@query(book_sql.metrics_sql(_FEED, _swept("latency_us", _LATENCIES), "latency_us"))
 def latency_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return bt.latency_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d))
+    return _rounded(bt.latency_sweep(_feed(spark, d), _LATENCIES, base=_BASE, depth=_depth(spark, d)))
 
 
-@query()
+@query(book_sql.metrics_sql(_FEED, _swept("cancel_assumption", (bt.PESSIMISTIC, bt.PRO_RATA, bt.OPTIMISTIC)), "cancel_assumption"))
 def cancel_assumption_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return bt.cancel_assumption_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d))
+    return _rounded(bt.cancel_assumption_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d)))
 
 
-@query()
+@query(book_sql.metrics_sql(_FEED, _swept("entry_z", _ENTRIES), "entry_z"))
 def entry_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return bt.entry_threshold_sweep(_feed(spark, d), base=_BASE, depth=_depth(spark, d))
+    return _rounded(bt.entry_threshold_sweep(_feed(spark, d), _ENTRIES, base=_BASE, depth=_depth(spark, d)))
