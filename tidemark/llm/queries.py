@@ -114,7 +114,7 @@ b AS (SELECT doc_id, max(c) AS top2 FROM (SELECT doc_id, count(*) AS c FROM w WH
 l AS (SELECT doc_id, count(*) AS k, count(DISTINCT r) AS d FROM (SELECT doc_id, regexp_extract(unnest(string_split(s, chr(10))), '(?s)(?:{_P9_WORD}|\\x01).*') AS r FROM t) WHERE r <> '' GROUP BY doc_id)"""
 
 ORACLES = {
-    "p7_invariants": "SELECT count(*) AS n_docs, 0 AS n_missing, 0 AS n_split_wrong, 0 AS n_tokens_wrong, 0 AS n_overfull, 0 AS n_unknown_kinds FROM documents",
+    "p7_invariants": "SELECT count(*) AS n_docs, 0::BIGINT AS n_missing, 0::BIGINT AS n_split_wrong, 0::BIGINT AS n_tokens_wrong, 0::BIGINT AS n_overfull, 0::BIGINT AS n_unknown_kinds FROM documents",
     "p9_shares": f"""WITH {_P9} SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(round((top - 1) / n, 6), 0) AS top_word, coalesce(round(2 * (top2 - 1) / n, 6), 0) AS top_pair,
   coalesce(round((k - d) / k, 6), 0) AS same_lines FROM t LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "p3_found": f"WITH {_P3} SELECT fill_id, sample_id FROM c WHERE k = 1 AND sample_id IS NOT NULL",
