@@ -261,7 +261,7 @@ def word_frequencies(docs: DataFrame, text: str, lang: str, markup: bool = True)
 
 
 def function_words(frequencies: DataFrame, share: float = 0.5, least_share: float = 1e-4) -> dict[str, list[int]]:
-    """Per language the words that stand in at least ``share`` of its texts, blended with ``PRIOR`` texts of the whole corpus.
+    """Per language the words that stand in at least ``share`` of its texts, blended with ``PRIOR`` texts of the whole corpus, and those that stand in ``share`` of all texts.
 
     A language with less than ``least_share`` of all texts isn't listed: at most 1 / least_share languages are, each with at most mean words of a text / share.
     """
@@ -271,10 +271,11 @@ def function_words(frequencies: DataFrame, share: float = 0.5, least_share: floa
     # a blended share of at least ``share`` needs one of the two shares to reach it; most words are gone before the join
     own = frequencies.where("word IS NOT NULL").join(F.broadcast(sizes), "language").where((F.col("n_docs") + PRIOR) / (F.col("n") + PRIOR) >= share)
     found = own.join(every, "word").where((F.col("n_docs") + PRIOR * F.col("p")) / (F.col("n") + PRIOR) >= share)
-    out: dict[str, list[int]] = {x["language"]: [] for x in sizes.select("language").collect()}
+    common = {x["word"] for x in every.where(F.col("p") >= share).collect()}
+    out: dict[str, set[int]] = {x["language"]: set(common) for x in sizes.select("language").collect()}
     for x in found.select("language", "word").collect():
-        out[x["language"]].append(x["word"])
-    return out
+        out[x["language"]].add(x["word"])
+    return {k: sorted(v) for k, v in out.items()}
 
 
 def text_measures(docs: DataFrame, doc_id: str, text: str, lang: str, function: dict[str, list[int]] | None = None, markup: bool = True) -> DataFrame:
