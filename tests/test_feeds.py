@@ -1,5 +1,7 @@
 """CSV pairs to Parquet and back; time parsing; live features equal the batch replay."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,19 @@ def test_live_fills_equal_a_run(spark, tmp_path):
         run.message(Message(ts, kind, order_id, size, price, side))
     got = sorted((r.ts, r.order_id, r.price, r.qty) for r in spark.table("fills").collect())
     assert got == sorted((f.ts, f.order_id, f.price, f.qty) for f in run.fills) and len(got) > 2
+
+
+def test_an_idle_session_is_finished_and_forgotten(spark, tmp_path):
+    spec = RunSpec(start_index=0, start_ts=0, end_ts=10**15, window_events=2, zscore_window=4, entry_z=0.1, passive_entry=False, cooldown_ms=0, latency_us=0, max_hold_s=10**6, exit_z=-100)
+    rows = [("A", "d", 0, 1, 1, 1, 500, 10_000, 1), ("A", "d", 1, 2, 1, 2, 500, 10_100, -1)] + [("A", "d", i, 1000 * i, 1, 10 + i, 10 + 7 * i, 10_000, 1) for i in range(2, 12)]
+    schema = "symbol string, trade_date string, seq bigint, ts_ns bigint, type int, order_id bigint, size int, price bigint, direction int"
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    q = live_fills(spark.readStream.schema(schema).parquet(folder), spec, idle_ms=1500).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and (not (got := spark.table("idle").collect()) or sum(f.side * f.qty for f in got)):
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert got and sum(f.side * f.qty for f in got) == 0  # bought while messages came, sold when none did
