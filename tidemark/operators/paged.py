@@ -38,7 +38,7 @@ def paged_fold(ops: DataFrame, keys: Sequence[str], order: str, patches: Patches
     by = Window.partitionBy(*near).orderBy("page")
     linked = pages.withColumns({"parent": F.lag("page").over(by), "child": F.lead("page").over(by)})
     table = materialize(
-        linked.select(*near, "page", "parent", "child", F.element_at("items", 1)["at"].alias("head"), read(F.col("items"), patches.absent()).alias("r"), "items")
+        linked.select(*near, "page", "parent", "child", F.element_at("items", 1)["at"].alias("head"), read(F.col("items"), patches.absent()).alias("r"), "items", F.array_max(F.transform("items", lambda x: x["qty"])).alias("most"))
     )
     table = _across(table, keys)
     alive = _openings(table, keys, patches)
@@ -56,9 +56,9 @@ def _same(keys: Sequence[str], others: dict[str, str]) -> Column:
 
 def _across(table: DataFrame, keys: list[str]) -> DataFrame:
     """The pages with their links from one stretch of ``SUPER`` pages to the next as well. Without a second stretch there are none to add."""
-    far = table.where("super > 0").select(*keys).distinct().select(*[F.col(k).alias(f"__{k}") for k in keys])
-    if far.isEmpty():
+    if table.where("super > 0").isEmpty():
         return table
+    far = table.where("super > 0").select(*keys).distinct().select(*[F.col(k).alias(f"__{k}") for k in keys])
     ends = table.where("parent IS NULL OR child IS NULL").join(far, _same(keys, {}), "left_semi")
     stretch = ends.groupBy(*keys, "super").agg(F.min("page").alias("first"), F.max("page").alias("last"))  # a row per stretch
     by = Window.partitionBy(*keys).orderBy("super")
@@ -74,7 +74,7 @@ def _across(table: DataFrame, keys: list[str]) -> DataFrame:
 def _openings(table: DataFrame, keys: list[str], patches: Patches) -> DataFrame:
     """``__`` keys, ``__page`` and ``opening`` of the pages whose parent leaves a record behind."""
     chain = table.where("child IS NOT NULL")
-    largest = chain.agg(F.max(F.array_max(F.transform("items", lambda x: x["qty"])))).first()[0] or 0
+    largest = chain.agg(F.max("most")).first()[0] or 0
     own = F.aggregate("items", patches.identity(), lambda f, x: patches.then(f, x, largest), lambda f: patches.thin(f, largest))
 
     def settled(df: DataFrame) -> DataFrame:
