@@ -35,6 +35,14 @@ def test_numbering_in_blocks(spark):
         assert all(r.pos == r.seq // 3 for r in got) and len(got) == 100
 
 
+def test_numbering_moves_its_input_once(spark):
+    _, df = features(spark, 50, symbols=("A", None))
+    got = numbered(df.distinct(), ["symbol", "trade_date"], "seq", 7)
+    assert got.columns == [*df.columns, "pos"]
+    assert sorted((r.symbol or "", r.pos) for r in got.collect() if r.pos == r.seq // 3) == [(s, i) for s in ("", "A") for i in range(50)]
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [5, 13, 1000])
 def test_event_signals_in_blocks(spark, block):
     rows, df = features(spark, 60, 3, ("A",))
@@ -88,6 +96,23 @@ def test_predictive_table_has_every_pair(spark):
     assert got.count() == 2 * 3 * 2 and got.where("n > 0 AND corr IS NULL").count() == 0
 
 
+def test_predictive_table_without_variation(spark):
+    quotes = {"still mid": lambda i: (1.0, i % 7), "still book": lambda i: (1 + i * i % 11 / 100, 5)}
+    rows = [(s, "d", i, i, at(i)[0], i * i % 5, at(i)[1], 10, 0) for s, at in quotes.items() for i in range(30)]
+    got = {(r.symbol, r.signal, r.horizon_events): r for r in predictive_table(spark.createDataFrame(rows, FEATURES), [2], [1, 3]).collect()}
+    assert len(got) == 2 * 2 * 2
+    for s in quotes:
+        d = [r for r in rows if r[0] == s]
+        for h in (1, 3):
+            signals = {"ofi_w2": [None, *[a[5] + b[5] for a, b in zip(d, d[1:])]], "queue_imbalance": [(r[6] - 10) / (r[6] + 10) for r in d]}
+            ahead = [(b[4] - a[4]) * 100 for a, b in zip(d, d[h:])]
+            for signal, xs in signals.items():
+                x, y = zip(*[(a, b) for a, b in zip(xs, ahead) if a is not None])
+                r = got[s, signal, h]
+                assert r.n == len(x) > 1
+                assert r["corr"] == (pytest.approx(np.corrcoef(x, y)[0, 1]) if len(set(x)) > 1 and len(set(y)) > 1 else None)
+
+
 def test_asof_ties_and_missing(spark):
     r = spark.createDataFrame([("A", 10, 1, 1.0), ("A", 10, 2, 2.0), ("A", 20, 3, None), ("A", None, 4, 9.0), (None, 1, 5, 8.0), ("A", 95, 6, 3.0)], "k string, t bigint, o bigint, v double")
     l = spark.createDataFrame([("A", 9), ("A", 10), ("A", 30), ("A", 99), ("B", 50), (None, 50), ("A", None)], "k string, at bigint")

@@ -43,6 +43,12 @@ def _over(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation over a group, NULL where x or y doesn't vary. ``F.corr`` divides by zero there whatever stands around it: aggregates are computed before conditions."""
+    varied = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
+    return F.when(varied, _over(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def ofi_regression(features: DataFrame, bucket_s: float = 10.0, keys: Sequence[str] = SESSION, lags: int = 5) -> DataFrame:
     """dmid = a + b * OFI per session over buckets, with mean depth and slope x depth."""
     b = bucket_ofi(features, int(bucket_s * SECOND), keys)
@@ -75,8 +81,7 @@ def predictive_table(features: DataFrame, windows: Iterable[int] = (20, 50, 100)
     for i, (a, h) in enumerate(cells):
         both = F.col(a).isNotNull() & F.col(f"fwd_{h}").isNotNull()
         x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(f"fwd_{h}"))
-        varied = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-        aggs += [F.when(varied, F.corr(x, y)).alias(f"c{i}"), F.count_if(both).alias(f"n{i}")]
+        aggs += [_correlation(x, y).alias(f"c{i}"), F.count_if(both).alias(f"n{i}")]
     wide = s.groupBy(*keys).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(a).alias("signal"), F.lit(h).alias("horizon_events"), F.col(f"c{i}").alias("corr"), F.col(f"n{i}").alias("n")) for i, (a, h) in enumerate(cells)])
     return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")

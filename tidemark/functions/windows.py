@@ -17,19 +17,16 @@ BLOCK = 200_000
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, block: int = BLOCK, name: str = "pos", tie: str | None = None) -> DataFrame:
     """``name``: the 0-based place of each row in its series by ``order`` (BIGINT, not NULL), then by ``tie``."""
-    part = F.expr(f"{order} div {block}")
-    cut = df.withColumn("__part", part)
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    renamed = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__off")
-    same = F.col("__part") == F.col("__p")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__part").orderBy(order, *([tie] if tie else []))
+    # keys and part in one struct, which is never NULL: both uses of df are placed alike, so that it is moved once, and the join needs no placement of its own
+    place = F.struct(*keys, F.expr(f"{order} div {block}").alias("__part"))
+    cut = df.select(place.alias("__place"), *[c for c in df.columns if c not in keys])
+    before = Window.partitionBy(*[F.col("__place")[k] for k in keys]).orderBy(F.col("__place")["__part"]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("__place").agg(F.count(F.lit(1)).alias("__n")).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("__place").orderBy(order, *([tie] if tie else []))
     return (
-        cut.withColumn("__rn", F.row_number().over(inside)).join(renamed, same)
+        cut.withColumn("__rn", F.row_number().over(inside)).join(sizes, "__place")
         .withColumn(name, (F.col("__off") + F.col("__rn") - 1).cast("bigint"))
-        .select(*df.columns, name)
+        .select(*[F.col("__place")[c].alias(c) if c in keys else c for c in df.columns], name)
     )
 
 
